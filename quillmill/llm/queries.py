@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import packing, pieces, tokens
+from quillmill.llm import packing, pieces, sentences, tokens
 from quillmill.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ QUERIES: dict[str, Query] = {
     "p1_pieces": lambda s, d: pieces.chapter_pieces(table(s, d, "chapters")),
     "p6_ids": lambda s, d: tokens.corpus_ids(s, table(s, d, "documents")),
     "p7_containers": lambda s, d: packing.packed_documents(s, table(s, d, "documents")),
+    "p8_found": lambda s, d: sentences.found(table(s, d, "documents")),
+    "p8_sentences": lambda s, d: sentences.document_sentences(table(s, d, "documents")),
 }
 
 #: White space in the Unicode sense, as one RE2 class.
