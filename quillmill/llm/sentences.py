@@ -12,6 +12,8 @@ dropped. Offsets are Unicode code points from 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +25,14 @@ TERMINATORS = "." + SOFT + STRONG
 
 #: Abbreviations that never end a sentence.
 PREFIX = (
-    "Mr Mrs Ms Dr Prof St Mt Capt Col Gen Lt Sgt Rev Hon Gov Sen Rep Pres Messrs approx vs Sept Oct Nov Dec Jan Feb Aug ca cf "
+    "Mr Mrs Ms Sr Dr Prof St Mt Capt Col Gen Lt Sgt Rev Hon Gov Sen Rep Pres Messrs approx vs Sept Oct Nov Dec Jan Feb Aug ca cf "
     "N.B MM Mlle Mgr env c.-à-d Hr Fr Hrn bzw evtl ggf Abb z. B z.B d. h d.h u. a u.a i. d. R Sra Srta Dra Dña Ud Uds a. m "
     "EE. UU проф ул им акад гр т. е т.е г гг σελ π.χ δηλ Δρ κ κα د أ डॉ पं पृ प्रो श्री i.e e.g"
 ).replace("z. B", "z.~B").replace("d. h", "d.~h").replace("u. a", "u.~a").replace("i. d. R", "i.~d.~R").replace("a. m", "a.~m").replace("EE. UU", "EE.~UU").replace("т. е", "т.~е")
 #: Abbreviations that never end a sentence before a number.
 NUMBERED = "No Nos no nos Nr nr p P pp Pp ch Ch chap Chap vol Vol Vols fig Fig Figs apt sec Sec art Art pág págs Pág núm h стр Стр рис Рис гл д S ص т"
 #: Abbreviations that end a sentence if the next one plainly begins.
-FREE = "etc Inc Co Corp Ltd Jr Sr Bros U.K U.S U.S.A A.D B.C a.m p.m usw u.~s.~w т.~д т.~п др κ.λπ κ.ά إلخ km kg"
+FREE = "etc Inc Co Corp Ltd Jr Bros U.K U.S U.S.A A.D B.C a.m p.m usw u.~s.~w т.~д т.~п др κ.λπ κ.ά إلخ km kg"
 #: German words before ordinal numbers, and months after them.
 ORDINAL_BEFORE = "Am am Die die Der der Das das Den den Dem dem Des des Im im Vom vom Zum zum Zur zur Beim beim Ab ab Seit seit Bis bis"
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember"
@@ -57,6 +59,8 @@ def _masked_abbreviations(text: Column) -> Column:
     out = F.regexp_replace(out, f"(?<={MASK})\\.", MASK)
     out = F.regexp_replace(out, "(?<=\\p{N})\\.(?=\\p{N})", MASK)  # decimals, dates, versions
     out = F.regexp_replace(out, "(?<=[\\p{L}\\p{N}_])\\.(?=[\\p{Ll}\\p{N}][\\p{L}\\p{N}_.@/-]*)", MASK)  # file names, sites, inner dots of lower-case abbreviations
+    spaced = "z(?=\\. ?B\\.)|d(?=\\. ?h\\.)|u(?=\\. ?[as]\\.)|i(?=\\. ?d\\.)|т(?=\\. ?[едп]\\.)|[ap](?=\\. ?m\\.)|EE(?=\\. ?UU\\.)"
+    out = F.regexp_replace(out, f"((?<![\\p{{L}}])(?:{spaced}))\\.", "$1" + MASK)
     inner = {".": f"[.{MASK}]"}
     prefix = _alternatives(PREFIX).replace("\\.", inner["."])
     free = _alternatives(FREE).replace("\\.", inner["."])
@@ -79,6 +83,11 @@ def _quiet(text: Column) -> Column:
     return F.translate(text, TERMINATORS, MASK * len(TERMINATORS))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once for all its uses; higher-order functions share no subexpressions."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _masked_quotes(paragraph: Column) -> Column:
     """Quotation marks become one pair of signs; marks inside are masked but for those just before the closing sign."""
     out = F.regexp_replace(paragraph, "„([^„“”]*)[“”]", OPEN + "$1" + CLOSE)
@@ -87,11 +96,9 @@ def _masked_quotes(paragraph: Column) -> Column:
     out = F.array_join(straight, "")
 
     def inside(x: Column, i: Column) -> Column:
-        rest = F.substring_index(x, CLOSE, -1)
-        body = F.substring(x, F.lit(1), F.length(x) - F.length(rest) - 1)
-        tail = F.regexp_extract(body, f"[{TERMINATORS}]+[{WS}]?$", 0)
-        core = F.substring(body, F.lit(1), F.length(body) - F.length(tail))
-        return F.when(i == 0, x).when(~F.contains(x, F.lit(CLOSE)), F.concat(F.lit(OPEN), _quiet(x))).otherwise(F.concat(F.lit(OPEN), _quiet(core), tail, F.lit(CLOSE), rest))
+        body = F.regexp_extract(x, f"(?s)^(.*?)[{TERMINATORS}]*[{WS}]?{CLOSE}[^{CLOSE}]*$", 1)
+        closed = _let(body, lambda b: F.concat(F.lit(OPEN), _quiet(b), F.substring(x, F.length(b) + 1, F.length(x))))
+        return F.when(i == 0, x).when(F.contains(x, F.lit(CLOSE)), closed).otherwise(F.concat(F.lit(OPEN), _quiet(x)))
 
     return F.array_join(F.transform(F.split(out, OPEN, -1), inside), "")
 
@@ -103,10 +110,10 @@ def _masked_brackets(paragraph: Column) -> Column:
         before = F.element_at(parts, i)  # the part before, as i counts from 0
         alone = (F.trim(before) == "") | before.rlike(f"[{TERMINATORS}]{CLOSE}?[{WS}]*$") | (before.rlike(f"{CLOSE}[{WS}]*$") & ~before.rlike(f"[^{TERMINATORS}]{CLOSE}[{WS}]*$"))
         body = F.regexp_extract(x, "^[(（][^)）]*[)）]", 0)
-        return F.when((i == 0) | alone | (body == ""), x).otherwise(F.concat(_quiet(body), F.substring(x, F.length(body) + 1, F.length(x))))
+        masked = _let(body, lambda b: F.concat(_quiet(b), F.substring(x, F.length(b) + 1, F.length(x))))
+        return F.when((i == 0) | alone, x).otherwise(masked)
 
-    parts = F.split(paragraph, "(?=[(（])", -1)
-    return F.array_join(F.transform(parts, lambda x, i: remark(parts, x, i)), "")
+    return _let(F.split(paragraph, "(?=[(（])", -1), lambda parts: F.array_join(F.transform(parts, lambda x, i: remark(parts, x, i)), ""))
 
 
 def _cut(paragraph: Column) -> Column:
@@ -126,9 +133,10 @@ def _cut(paragraph: Column) -> Column:
     )
     opens = f"[\\p{{Lu}}\\p{{Lo}}{OPEN}‘¿¡(（《]"
     gap = f"(?=[{WS}]|{opens}|[—–])"
-    out = F.regexp_replace(paragraph, f"([{TERMINATORS}]+{quoted})(?=.){no_pause}{no_lower}{not_said}(?!$)", "$1" + CUT)
-    out = F.regexp_replace(out, f"([{STRONG}][{TERMINATORS}]*(?![ \\u00A0\\u202F]?{CLOSE}|’){closers})(?!{CUT})(?=.){no_pause}{gap}", "$1" + CUT)
-    out = F.regexp_replace(out, f"((?<![{STRONG}])[.{SOFT}](?![{STRONG}])(?![ \\u00A0\\u202F]?{CLOSE}|’){closers})(?!{CUT})(?=.){no_pause}{no_lower}{gap}", "$1" + CUT)
+    out = F.regexp_replace(paragraph, f"([{TERMINATORS}]+{quoted})(?!\\z){no_pause}{no_lower}{not_said}", "$1" + CUT)
+    wide = f"(?<=[！？。｡।॥][{CLOSE})）】》]{{0,3}})"
+    out = F.regexp_replace(out, f"([{STRONG}][{TERMINATORS}]*(?![ \\u00A0\\u202F]?{CLOSE}|’){closers})(?!{CUT})(?!\\z){no_pause}(?:{gap}|{wide}(?![{TERMINATORS}]))", "$1" + CUT)
+    out = F.regexp_replace(out, f"((?<![{STRONG}])[.{SOFT}](?![{STRONG}])(?![ \\u00A0\\u202F]?{CLOSE}|’){closers})(?!{CUT})(?!\\z){no_pause}{no_lower}{gap}", "$1" + CUT)
     # Thai: a blank between Thai signs that are no digits.
     thai = "\\u0E01-\\u0E4F\\u0E5A-\\u0E5B"
     return F.regexp_replace(out, f"(?<=[{thai}][{CLOSE})]?)([ \\u00A0]+)(?=[{OPEN}(]?[{thai}])", "$1" + CUT)
@@ -161,7 +169,8 @@ def sentence_spans(text: Column) -> Column:
 def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sentence_no, start_pos, end_pos, sentence), one row per sentence of every row with text."""
     spans = df.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), sentence_spans(F.col(text_col)).alias("spans"))
-    rows = spans.select("id", "text", F.posexplode("spans").alias("sentence_no", "span"))
+    # The outer form: a plain explode makes the optimizer compute the spans three times, for a filter on their size.
+    rows = spans.select("id", "text", F.posexplode_outer("spans").alias("sentence_no", "span")).filter("span IS NOT NULL")
     text = F.substring(F.col("text"), F.col("span.start_pos") + 1, F.col("span.end_pos") - F.col("span.start_pos"))
     return rows.select("id", "sentence_no", "span.start_pos", "span.end_pos", text.alias("sentence"))
 
