@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.tokens import slices
 
 LEVELS = ["beginner", "intermediate", "advanced"]
-FEATURES, GRAMS, STRETCH = 8192, (3, 4), 30
+FEATURES, GRAMS, STRETCH = 4096, (3, 4), 30
 #: Most labelled passages that are fitted on.
 MOST_SAMPLES = 5000
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?。！？।؟]+")
@@ -105,7 +105,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(samples: list[tuple[str, str]], penalty: float = 1e-4, steps: int = 400, rate: float = 60.0) -> LevelModel:
+def fit(samples: list[tuple[str, str]], penalty: float = 1e-4, steps: int = 150, rate: float = 100.0) -> LevelModel:
     """Gradient descent with momentum on the mean cross-entropy of sentences; then the cuts from whole passages."""
     if not samples:
         raise ValueError("no labelled passages")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import levels, neardup, packing, pieces, sentences, tokens
+from quillmill.llm import levels, neardup, packing, pieces, residue, sentences, tokens
 from quillmill.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,9 @@ QUERIES: dict[str, Query] = {
     "p4_found": lambda s, d: levels.found(table(s, d, "chapters"), table(s, d, "books"), table(s, d, "level_samples")),
     "p4_books": lambda s, d: levels.book_levels(table(s, d, "chapters"), table(s, d, "level_samples")),
     "p4_chapters": lambda s, d: levels.chapter_levels(table(s, d, "chapters"), table(s, d, "level_samples")),
+    "p5_found": lambda s, d: residue.found(s, table(s, d, "books"), table(s, d, "questions")),
+    "p5_clean": lambda s, d: residue.clean(s, table(s, d, "books"), table(s, d, "questions")),
+    "p5_validation": lambda s, d: residue.validation(s, table(s, d, "books"), table(s, d, "questions")),
     "p6_ids": lambda s, d: tokens.corpus_ids(s, table(s, d, "documents")),
     "p7_containers": lambda s, d: packing.packed_documents(s, table(s, d, "documents")),
     "p8_found": lambda s, d: sentences.found(table(s, d, "documents")),
