@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import levels, neardup, packing, pieces, residue, sentences, tokens
+from quillmill.llm import levels, neardup, packing, pieces, residue, sentences, tokens, truncation
 from quillmill.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: pieces.oversized(table(s, d, "chapters")),
     "p1_pieces": lambda s, d: pieces.chapter_pieces(table(s, d, "chapters")),
+    "p2_found": lambda s, d: truncation.found(s, table(s, d, "books"), table(s, d, "questions")),
+    "p2_sources": lambda s, d: truncation.report(s, table(s, d, "books"), table(s, d, "questions")),
     "p3_found": lambda s, d: neardup.found(table(s, d, "chapters"), table(s, d, "books")),
     "p3_groups": lambda s, d: neardup.membership(table(s, d, "chapters"), table(s, d, "books")),
     "p4_found": lambda s, d: levels.found(table(s, d, "chapters"), table(s, d, "books"), table(s, d, "level_samples")),
