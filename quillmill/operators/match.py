@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillmill.functions import text as T
 
@@ -31,7 +32,7 @@ def last_writer(matches: DataFrame, order: str) -> DataFrame:
     return matches.groupBy("key", "idx").agg(F.max_by("id", F.struct(order, "id")).alias("id"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two texts with their words sorted: twice the longest common subsequence over both lengths, in percent."""
 

@@ -84,7 +84,7 @@ def latest_by_book(tasks: DataFrame) -> DataFrame:
 def chapter_states(tasks: DataFrame) -> DataFrame:
     """The state of each chapter by its tasks: in work before waiting before failed before done."""
     rank = F.when(F.col("status") == "processing", 3).when(F.col("status") == "queued", 2).when(F.col("status") == "error", 1).otherwise(0)
-    out = tasks.filter("chapter_id IS NOT NULL").groupBy("chapter_id").agg(F.max(rank).alias("r"), F.count_if("status = 'ready'").alias("n_ready"))
+    out = tasks.filter("chapter_id IS NOT NULL").groupBy("chapter_id").agg(F.max(rank).alias("r"), F.count_if(F.col("status") == "ready").alias("n_ready"))
     return out.select("chapter_id", F.element_at(F.array(*map(F.lit, ("ready", "error", "queued", "processing"))), F.col("r") + 1).alias("state"), "n_ready")
 
 
