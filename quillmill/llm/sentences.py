@@ -17,9 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASK, SOFT, OPEN, CLOSE, CUT, PLAIN = "", "", "", "", "", ""
+MASK, SOFT, OPEN, CLOSE, CUT, PLAIN = "\ue000", "\ue003", "\ue008", "\ue009", "\ue010", "\ue01f"
 WS = "\\s\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-STRONG = "!?！？。｡؟।॥۔‼⁇⁈⁉;"
+GREEK = "\u037e"
+STRONG = "!?！？。｡؟।॥۔‼⁇⁈⁉" + GREEK
 #: Everything that can end a sentence; inside quotations and brackets it is masked.
 TERMINATORS = "." + SOFT + STRONG
 
@@ -48,35 +49,31 @@ def _alternatives(words: str) -> str:
     return "|".join(sorted((f.replace(".", "\\.") for f in forms), key=len, reverse=True))
 
 
-def _mask_dots(text: Column, pattern: str, last: str = MASK) -> Column:
-    """Masks the dots of each match: the inner ones here, the closing one by ``last``. The pattern has no closing dot."""
-    closing = F.regexp_replace(text, f"((?<![\\p{{L}}\\p{{M}}\\p{{N}}{MASK}])(?:{pattern}))\\.", "$1" + last)
-    return closing
+def _mask_dots(text: Column, before: str, after: str = "", mask: str = MASK) -> Column:
+    """Masks dots by what stands before and after them. The search goes from dot to dot; what precedes is looked back at."""
+    return F.regexp_replace(text, f"\\.(?<={before}\\.){after}", mask)
 
 
 def _masked_abbreviations(text: Column) -> Column:
-    out = F.regexp_replace(text, "\\.(?=\\.)|(?<=\\.)\\.", MASK)  # ellipses: their last dot below
-    out = F.regexp_replace(out, f"(?<={MASK})\\.", MASK)
-    out = F.regexp_replace(out, "(?<=\\p{N})\\.(?=\\p{N})", MASK)  # decimals, dates, versions
-    out = F.regexp_replace(out, "(?<=[\\p{L}\\p{N}_])\\.(?=[\\p{Ll}\\p{N}][\\p{L}\\p{N}_.@/-]*)", MASK)  # file names, sites, inner dots of lower-case abbreviations
-    spaced = "z(?=\\. ?B\\.)|d(?=\\. ?h\\.)|u(?=\\. ?[as]\\.)|i(?=\\. ?d\\.)|т(?=\\. ?[едп]\\.)|[ap](?=\\. ?m\\.)|EE(?=\\. ?UU\\.)"
-    out = F.regexp_replace(out, f"((?<![\\p{{L}}])(?:{spaced}))\\.", "$1" + MASK)
-    inner = {".": f"[.{MASK}]"}
-    prefix = _alternatives(PREFIX).replace("\\.", inner["."])
-    free = _alternatives(FREE).replace("\\.", inner["."])
-    out = _mask_dots(out, f"(?:{free})", SOFT)
-    out = _mask_dots(out, f"(?iu:{prefix})")
-    numbered = _alternatives(NUMBERED)
-    out = F.regexp_replace(out, f"((?<![\\p{{L}}\\p{{M}}\\p{{N}}])(?:{numbered}))\\.(?=[{WS}]*\\p{{N}})", "$1" + MASK)
-    before = "|".join(ORDINAL_BEFORE.split())
-    out = F.regexp_replace(out, f"((?<![\\p{{L}}])(?:{before})[{WS}]\\p{{N}}{{1,3}})\\.(?=[{WS}])", "$1" + MASK)
-    out = F.regexp_replace(out, f"((?<![\\p{{N}}{MASK}])\\p{{N}}{{1,2}})\\.(?=[{WS}]+(?:{'|'.join(MONTHS.split())}))", "$1" + MASK)
+    edge = f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{MASK}])"
+    inner = f"[.{MASK}]"
+    out = F.regexp_replace(text, "\\.(?:(?=\\.)|(?<=\\.\\.))", MASK)  # ellipses: their last dot below
+    out = _mask_dots(out, MASK)
+    out = _mask_dots(out, "\\p{N}", "(?=\\p{N})")  # decimals, dates, versions
+    out = _mask_dots(out, "[\\p{L}\\p{N}_]", "(?=[\\p{Ll}\\p{N}][\\p{L}\\p{N}_.@/-]*)")  # file names, sites, inner dots of lower-case abbreviations
+    for first, second in (("z", "B"), ("d", "h"), ("u", "[as]"), ("i", "d"), ("т", "[едп]"), ("[ap]", "m"), ("EE", "UU")):
+        out = _mask_dots(out, f"(?<!\\p{{L}}){first}", f"(?= ?{second}\\.)")
+    out = _mask_dots(out, f"{edge}(?:{_alternatives(FREE).replace(chr(92) + '.', inner)})", mask=SOFT)
+    out = _mask_dots(out, f"{edge}(?iu:{_alternatives(PREFIX).replace(chr(92) + '.', inner)})")
+    out = _mask_dots(out, f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}])(?:{_alternatives(NUMBERED)})", f"(?=[{WS}]*\\p{{N}})")
+    out = _mask_dots(out, f"(?<!\\p{{L}})(?:{'|'.join(ORDINAL_BEFORE.split())})[{WS}]\\p{{N}}{{1,3}}", f"(?=[{WS}])")
+    out = _mask_dots(out, f"(?<![\\p{{N}}{MASK}])\\p{{N}}{{1,2}}", f"(?=[{WS}]+(?:{'|'.join(MONTHS.split())}))")
     # List markers open a paragraph or a line after a finished one.
-    out = F.regexp_replace(out, f"((?:\\A|(?<=[{TERMINATORS}:…{CLOSE})”][ \\t]{{0,4}}\\n))[ \\t]*\\(?(?:\\p{{N}}{{1,3}}|\\p{{L}}))\\.(?=[{WS}])", "$1" + MASK)
+    out = _mask_dots(out, f"(?:\\A|[{TERMINATORS}:…{CLOSE})”][ \\t]{{0,4}}\\n)[ \\t]{{0,8}}\\(?(?:\\p{{N}}{{1,3}}|\\p{{L}})", f"(?=[{WS}])")
     # Initials, alone or in a row.
-    out = F.regexp_replace(out, f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}])(\\p{{Lu}})\\.(?=[{WS}]{{0,2}}-?\\p{{Lu}})", "$1" + MASK)
+    out = _mask_dots(out, "(?<![\\p{L}\\p{M}\\p{N}])\\p{Lu}", f"(?=[{WS}]{{0,2}}-?\\p{{Lu}})")
     # The Greek question mark is written as a semicolon too.
-    return F.regexp_replace(out, f"(?<=\\p{{IsGreek}}[)»{CLOSE}]?);(?=[{WS}]|$)", ";")
+    return F.regexp_replace(out, f"(\\p{{IsGreek}}[)»{CLOSE}]?);(?=[{WS}]|$)", "$1" + GREEK)
 
 
 def _quiet(text: Column) -> Column:
@@ -139,7 +136,7 @@ def _cut(paragraph: Column) -> Column:
     out = F.regexp_replace(out, f"((?<![{STRONG}])[.{SOFT}](?![{STRONG}])(?![ \\u00A0\\u202F]?{CLOSE}|’){closers})(?!{CUT})(?!\\z){no_pause}{no_lower}{gap}", "$1" + CUT)
     # Thai: a blank between Thai signs that are no digits.
     thai = "\\u0E01-\\u0E4F\\u0E5A-\\u0E5B"
-    return F.regexp_replace(out, f"(?<=[{thai}][{CLOSE})]?)([ \\u00A0]+)(?=[{OPEN}(]?[{thai}])", "$1" + CUT)
+    return F.regexp_replace(out, f"([{thai}][{CLOSE})]?[ \\u00A0]+)(?=[{OPEN}(]?[{thai}])", "$1" + CUT)
 
 
 def sentence_spans(text: Column) -> Column:
