@@ -66,39 +66,36 @@ class LevelModel:
         f = word_features(word)
         return self.weights[f].sum(axis=0) / len(f)
 
-    def distribution(self, text: str, known: dict[str, int], vectors: list[np.ndarray]) -> np.ndarray | None:
+
+class Scorer:
+    """A model with the vectors of the words met so far; starts anew at ``most`` words, so its memory has a bound."""
+
+    def __init__(self, model: LevelModel, most: int = 500_000):
+        self.model, self.most = model, most
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, 3))
+
+    def distribution(self, text: str) -> np.ndarray | None:
         """Sums of (words x probability) of the three levels over the sentences; None without words."""
         words, sentence = _segments(text)
         if not words:
             return None
+        if len(self.known) > self.most:
+            self.known.clear()
         ids = []
         for w in words:
-            i = known.get(w)
+            i = self.known.get(w)
             if i is None:
-                i = known[w] = len(vectors)
-                vectors.append(self.vector(w))
+                i = self.known[w] = len(self.known)
+                if i >= len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[i] = self.model.vector(w)
             ids.append(i)
-        table = self._table(vectors)
         begins = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
         counts = np.diff(np.append(begins, len(sentence)))
-        logits = np.add.reduceat(table[ids], begins, axis=0) / counts[:, None] + self.bias
+        logits = np.add.reduceat(self.table[ids], begins, axis=0) / counts[:, None] + self.model.bias
         return counts @ softmax(logits)
 
-    def _table(self, vectors: list[np.ndarray]) -> np.ndarray:
-        """The vectors as one array, grown in place as words come."""
-        have = getattr(self, "_rows", np.zeros((0, 3)))
-        used = getattr(self, "_used", 0)
-        if used > len(vectors):
-            used = 0
-        if len(vectors) > len(have):
-            grown = np.zeros((max(1024, 2 * len(vectors)), 3))
-            grown[:used] = have[:used]
-            have = grown
-        if len(vectors) > used:
-            have[used : len(vectors)] = vectors[used:]
-        self._rows, self._used = have, len(vectors)
-        return have
-
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -132,17 +129,14 @@ def fit(samples: list[tuple[str, str]], penalty: float = 1e-4, steps: int = 150,
         vb = 0.9 * vb - 0.5 * gap.sum(axis=0)
         w, b = w + vw, b + vb
     model = LevelModel(w, b)
-    known: dict[str, int] = {}
-    vectors: list[np.ndarray] = []
-    scored = [(difficulty(d), LEVELS.index(level)) for text, level in samples if (d := model.distribution(text, known, vectors)) is not None]
+    scorer = Scorer(model)
+    scored = [(difficulty(d), LEVELS.index(level)) for text, level in samples if (d := scorer.distribution(text)) is not None]
     cuts = []
     for k in (1, 2):
         low, high = sorted(s for s, y in scored if y == k - 1), sorted(s for s, y in scored if y == k)
         # The middle between the upper tail of the lower level and the lower tail of the next.
         cuts.append(float((np.quantile(low, 0.9) + np.quantile(high, 0.1)) / 2) if low and high else k - 0.5)
     model.cuts = (cuts[0], cuts[1])
-    for name in ("_rows", "_used"):
-        model.__dict__.pop(name, None)
     return model
 
 
@@ -161,17 +155,11 @@ def scored(df: DataFrame, model: LevelModel, id_col: str = "id", key_col: str =
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        model = LevelModel(own.weights, own.bias, own.cuts)
-        known: dict[str, int] = {}
-        vectors: list[np.ndarray] = []
+        scorer = Scorer(sent.value)
         for batch in slices(batches):
-            if len(vectors) > 500_000:
-                known.clear()
-                vectors.clear()
             keep, sums = [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
-                d = model.distribution(text, known, vectors) if text else None
+                d = scorer.distribution(text) if text else None
                 if d is not None:
                     keep.append(row)
                     sums.append(d)

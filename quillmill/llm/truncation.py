@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quillmill.llm import residue
 from quillmill.tables import cut_lineage
 
-#: A spike: at least LEAST texts, and TIMES the mean number of unclosed texts of a length; at most BEYOND of a source longer.
+#: A spike: at least LEAST texts, and TIMES the mean number of unclosed texts of the other lengths; at most BEYOND of a source longer.
 LEAST, TIMES, BEYOND = 4, 8.0, 0.002
 #: A place ends sentences if at least this share of its occurrences does.
 CAN_END = 0.2
@@ -104,7 +104,7 @@ def limits(texts: DataFrame) -> DataFrame:
     ranked = (
         hist.withColumn("beyond", F.coalesce(F.sum("texts").over(part.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("total", F.sum("texts").over(part))
-        .withColumn("mean", F.sum("open").over(part) / F.greatest(F.count("*").over(part), F.lit(1)))
+        .withColumn("mean", (F.sum("open").over(part) - F.col("open")) / F.greatest(F.count("*").over(part) - 1, F.lit(1)))
         .withColumn("greatest_open", F.max("open").over(part))
     )
     spikes = ranked.filter((F.col("open") == F.col("greatest_open")) & (F.col("open") >= LEAST) & (F.col("open") >= TIMES * F.col("mean")) & (F.col("beyond") <= BEYOND * F.col("total") + 1))
