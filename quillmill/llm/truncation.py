@@ -25,12 +25,15 @@ from quillmill.tables import cut_lineage
 LEAST, TIMES, BEYOND = 4, 8.0, 0.002
 #: A place ends sentences if at least this share of its occurrences does.
 CAN_END = 0.2
-#: Sentences of one beginning that end fewer texts than this share are followed by another one.
-RARE_LAST = 0.03
+#: Sentences of one beginning that end fewer texts than this share are followed by another one: at a limit, and elsewhere,
+#: where at least SEEN of them must be known.
+RARE_LAST, NEVER_LAST, SEEN = 0.03, 0.002, 30
 #: A word is known if it stands inside texts this often.
 KNOWN = 2
 WS = r"\s\u0085   -     　"
 _CLOSED = rf"[.!?…。！？؟।]['\"”’»)\]]*$"
+#: Half a sign: two of three dots, or what stands for a character of which bytes are missing.
+_HALF = r"(?:^|[^.])\.\.$|\uFFFD$"
 _WORD = r"[\p{L}\p{M}\p{N}]+(?:[’'][\p{L}]+)?"
 
 
@@ -40,7 +43,8 @@ def trimmed(text: Column) -> Column:
 
 def closed(text: Column) -> Column:
     """Whether a trimmed text ends in a closing mark, a closed remark, or a sign that is no letter, digit or opening mark."""
-    return text.rlike(_CLOSED) | text.rlike(r"[^\p{L}\p{M}\p{N}\s,;:&<>/(\[{“„«‘'\"’”»\-–—)\]]$") | text.rlike(r"[(\[][^()\[\]]*[)\]]$")
+    whole = text.rlike(_CLOSED) | text.rlike(r"[^\p{L}\p{M}\p{N}\s,;:&<>/(\[{“„«‘'\"’”»\-–—)\]]$") | text.rlike(r"[(\[][^()\[\]]*[)\]]$")
+    return whole & ~text.rlike(_HALF)
 
 
 def broken_mark(text: Column) -> Column:
@@ -48,6 +52,7 @@ def broken_mark(text: Column) -> Column:
     count = lambda signs: F.length(text) - F.length(F.translate(text, signs, ""))
     return (
         text.rlike(r"[,;:&<(\[{“„«‘–—-]$") & ~text.rlike(r"&\w+;$")
+        | text.rlike(_HALF)
         | text.rlike(r"<[^<>]{0,30}$")
         | text.rlike(r"&#?\w{0,8}$")
         | (count("(") > count(")"))
@@ -57,9 +62,14 @@ def broken_mark(text: Column) -> Column:
     )
 
 
+def without_markup(text: Column) -> Column:
+    """Tags and entities are no words."""
+    return F.regexp_replace(text, r"</?\w+>|&#?\w+;", " ")
+
+
 def words(text: Column) -> Column:
     """Words in the form the counts use: digits as 0, capitalised words but the first as N, all others in lower case."""
-    raw = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    raw = F.regexp_extract_all(without_markup(text), F.lit(_WORD), F.lit(0))
     return F.transform(raw, lambda w, i: F.when(w.rlike(r"^\p{N}"), F.lit("0")).when((i > 0) & w.rlike(r"^\p{Lu}"), F.lit("N")).otherwise(F.lower(w)))
 
 
@@ -128,7 +138,7 @@ def classified(spark: SparkSession, books: DataFrame, questions: DataFrame) -> D
     mixed = F.col("unit_text").rlike(r"\p{Ll}") & (F.col("unit_text").rlike(r"\p{Lu}"))
     open_ = cut_lineage(open_.withColumn("w", words(F.col("unit_text"))).withColumn("mixed", mixed).withColumn("name", F.col("end_word").rlike(r"^\p{Lu}") & (F.size("w") > 1) & mixed))
     # Words that stand inside texts in lower case.
-    inner = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{M}\p{N}’'])([\p{Ll}\p{M}’']+)(?=[^\p{L}\p{M}\p{N}’'])"), F.lit(1))).alias("word"))
+    inner = texts.select(F.explode(F.regexp_extract_all(without_markup(F.col("text")), F.lit(r"(?<![\p{L}\p{M}\p{N}’'])([\p{Ll}\p{M}’']+)(?=[^\p{L}\p{M}\p{N}’'])"), F.lit(1))).alias("word"))
     vocabulary = inner.groupBy("word").agg(F.count("*").alias("seen")).filter(F.col("seen") >= KNOWN)
     # In texts of one case a word unknown in lower case is taken for a name.
     flat = open_.filter("NOT mixed").select("field", "record_id", F.posexplode("w").alias("i", "word")).join(vocabulary.filter("seen >= 20"), "word", "left")
@@ -140,7 +150,7 @@ def classified(spark: SparkSession, books: DataFrame, questions: DataFrame) -> D
     keyed = open_.filter("size(w) > 0").select("field", "record_id", F.posexplode(keys).alias("level", "key"))
     enough = (F.col("level") < 5) & (F.col("ends") + F.col("goes_on") >= F.when(F.col("level") == 4, 1).otherwise(2))
     known = keyed.join(place_counts(texts), "key").groupBy("field", "record_id")
-    known = known.agg(F.min(F.when(enough, F.struct("level", "ends", "goes_on"))).alias("place"), F.max(F.when(F.col("level") == 5, F.col("ends") / (F.col("ends") + F.col("goes_on")))).alias("ends_texts"))
+    known = known.agg(F.min(F.when(enough, F.struct("level", "ends", "goes_on"))).alias("place"), F.max(F.when(F.col("level") == 5, F.col("ends") / (F.col("ends") + F.col("goes_on")))).alias("ends_texts"), F.max(F.when(F.col("level") == 5, F.col("ends") + F.col("goes_on"))).alias("of_texts"))
     # What is known of the last word, and of names of the same book that begin with it.
     ends = open_.select("field", "record_id", F.lower("end_word").alias("word")).join(vocabulary, "word").select("field", "record_id", F.lit(True).alias("is_word"))
     names = texts.select("book_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{M}\p{N}])(\p{Lu}[\p{L}\p{M}]+)(?=[^\p{L}\p{M}\p{N}])"), F.lit(1))).alias("n")).select("book_id", F.lower("n").alias("n")).distinct()
@@ -153,7 +163,7 @@ def classified(spark: SparkSession, books: DataFrame, questions: DataFrame) -> D
     share = F.col("place.ends") / (F.col("place.ends") + F.col("place.goes_on"))
     can_end = F.when(F.col("place").isNull(), ~F.col("at_limit")).otherwise(share >= CAN_END)
     part_of_word = F.when(F.col("name"), F.coalesce(~F.col("whole"), F.col("at_limit"))).otherwise(F.col("is_word").isNull() & ~F.col("end_word").rlike(r"^\p{N}"))
-    more_follows = F.col("at_limit") & (F.col("ends_texts") < RARE_LAST)
+    more_follows = F.when(F.col("at_limit"), F.col("ends_texts") < RARE_LAST).otherwise((F.col("ends_texts") < NEVER_LAST) & (F.col("of_texts") >= SEEN))
     cut = F.col("broken") | part_of_word | ~can_end | F.coalesce(more_follows, F.lit(False))
     judged = all_.select("field", "record_id", F.coalesce(cut, F.col("at_limit")).alias("cut"), "at_limit")
     out = texts.select("field", "record_id", "source").join(judged, ["field", "record_id"], "left")

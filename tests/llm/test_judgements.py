@@ -75,10 +75,10 @@ def test_residue_on_unseen_hosts(spark, data):
 
 
 def test_marks_and_ends(spark):
-    texts = ["It ended.", "It ended?”", "See (p. 12)", "fine 🙂", "no mark", "the &am", "a <em>b", "open (and", "list,", "“quoted", "x &amp;", "wait..."]
+    texts = ["It ended.", "It ended?”", "See (p. 12)", "fine 🙂", "no mark", "the &am", "a <em>b", "open (and", "list,", "“quoted", "x &amp;", "wait...", "wait..", "caf\ufffd"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
-    assert [r[0] for r in df.select(truncation.closed(F.col("t"))).collect()] == [True, True, True, True] + [False] * 6 + [False, True]
-    assert [r[0] for r in df.select(truncation.broken_mark(F.col("t"))).collect()] == [False] * 5 + [True] * 5 + [False, False]
+    assert [r[0] for r in df.select(truncation.closed(F.col("t"))).collect()] == [True, True, True, True] + [False] * 6 + [False, True, False, False]
+    assert [r[0] for r in df.select(truncation.broken_mark(F.col("t"))).collect()] == [False] * 5 + [True] * 5 + [False, False, True, True]
 
 
 def test_truncation(spark):
