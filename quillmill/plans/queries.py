@@ -637,6 +637,105 @@ def _(s, d):
     return s.createDataFrame(rows, "grade string, wpm_low int, wpm_high int")
 
 
+@query("ordered_concat", "SELECT id, row_number() OVER (PARTITION BY book_id ORDER BY part, chapter_number, id) AS place FROM (SELECT id, book_id, chapter_number, CASE WHEN chapter_number <= 1 THEN 0 WHEN chapter_number >= 5 THEN 2 ELSE 1 END AS part FROM chapters)")
+def _(s, d):
+    c = table(s, d, "chapters").select("id", "book_id", "chapter_number")
+    parts = [c.filter("chapter_number <= 1"), c.filter("chapter_number > 1 AND chapter_number < 5"), c.filter("chapter_number >= 5")]
+    joined = parts[0].withColumn("part", F.lit(0)).unionByName(parts[1].withColumn("part", F.lit(1))).unionByName(parts[2].withColumn("part", F.lit(2)))
+    return library.numbered(joined, "book_id", ["part", "chapter_number", "id"], "place").select("id", "place")
+
+
+@query("page_sets", "SELECT id, CASE WHEN chapter_number IN (1, 2, 9) THEN 'deleted' WHEN chapter_number IN (2, 3, 8) THEN 'metadata' ELSE 'content' END AS kind FROM chapters")
+def _(s, d):
+    deleted = F.array_union(F.array(F.lit(1), F.lit(2)), F.array(F.lit(9), F.lit(2)))
+    metadata = F.array_union(F.array(F.lit(2), F.lit(3)), F.array(F.lit(8)))
+    return table(s, d, "chapters").select("id", F.when(F.array_contains(deleted, F.col("chapter_number")), "deleted").when(F.array_contains(metadata, F.col("chapter_number")), "metadata").otherwise("content").alias("kind"))
+
+
+@query("union_without_repeats", f"SELECT id FROM {TASKS} WHERE status = 'queued' UNION SELECT id FROM {TASKS} WHERE priority = 1")
+def _(s, d):
+    t = _tasks(s, d)
+    first = t.filter("status = 'queued'").select("id")
+    return first.unionByName(dml.insert_new(first, t.filter("priority = 1").select("id"), ["id"])[0])
+
+
+@query("draft_conflicts", "SELECT id, EXISTS (SELECT 1 FROM books o WHERE NOT o.is_active AND o.isbn = b.isbn) AS rejected FROM books b WHERE is_active")
+def _(s, d):
+    books = table(s, d, "books")
+    accepted, rejected = dml.insert_new(books.filter("NOT is_active").select("isbn"), books.filter("is_active").select("id", "isbn"), ["isbn"])
+    return accepted.select("id", F.lit(False).alias("rejected")).unionByName(rejected.select("id", F.lit(True).alias("rejected")))
+
+
+@query("json_defaults", f"SELECT id, coalesce(payload, '{{}}') AS payload, coalesce(attempts, 0) AS attempts FROM {TASKS}")
+def _(s, d):
+    return _tasks(s, d).select("id", F.coalesce("payload", F.lit("{}")).alias("payload"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
+@query("grades_in_order", f"SELECT id, row_number() OVER (PARTITION BY book_id ORDER BY json_extract_string(payload, '$.grade_level') NULLS FIRST, created_at, id) AS place FROM {TASKS}")
+def _(s, d):
+    """Grades sort as texts: grade-10 before grade-2."""
+    rows = _tasks(s, d).select("id", "book_id", tasks.payload(tasks.GRADE).alias("grade"), "created_at")
+    return library.numbered(rows, "book_id", ["grade", "created_at", "id"], "place").select("id", "place")
+
+
+@query("regenerated_chapters", f"""
+    SELECT id FROM {TASKS} WHERE NOT (status = 'queued' AND coalesce(chapter_id, '') IN (SELECT id FROM chapters WHERE chapter_number = 1) AND coalesce(json_extract_string(payload, '$.grade_level'), '') IN ('grade-4', 'grade-5'))""")
+def _(s, d):
+    """What stays of the tasks when first chapters are made anew for two grades."""
+    first = table(s, d, "chapters").filter("chapter_number = 1").select(F.col("id").alias("c"))
+    t = _tasks(s, d)
+    doomed = t.filter("status = 'queued'").filter(tasks.payload(tasks.GRADE).isin("grade-4", "grade-5")).join(first, F.col("chapter_id") == F.col("c"), "left_semi").select("id")
+    return t.join(doomed, "id", "left_anti").select("id")
+
+
+@query("grades_or_level", "SELECT id, array_to_string(CASE WHEN len(list_filter(coalesce(tags, []), lambda t: starts_with(t, 'grade-'))) > 0 THEN list_filter(tags, lambda t: starts_with(t, 'grade-')) ELSE [coalesce(reading_level, '?')] END, ',') AS grades FROM books")
+def _(s, d):
+    return table(s, d, "books").select("id", F.array_join(T.grades_or_level(F.col("tags"), F.coalesce("reading_level", F.lit("?"))), ",").alias("grades"))
+
+
+@query("newest_states", "SELECT id, status FROM (SELECT id, status, row_number() OVER (PARTITION BY id ORDER BY coalesce(completed_at, started_at, created_at) DESC NULLS LAST, status DESC) AS r FROM queue_tasks) WHERE r = 1")
+def _(s, d):
+    return tasks.newest_state(table(s, d, "queue_tasks")).select("id", "status")
+
+
+@query("assigned_tasks", f"SELECT id, 'processing' AS status, attempts + 1 AS attempts, TIMESTAMP '{NOW}' + INTERVAL 15 MINUTE AS timeout_at FROM (SELECT * FROM {TASKS} WHERE status = 'queued' ORDER BY priority, created_at, id LIMIT 20)")
+def _(s, d):
+    return tasks.assigned(_tasks(s, d), F.lit(NOW).cast("timestamp_ntz"), 20).select("id", "status", "attempts", "timeout_at")
+
+
+@query("joined_paragraphs", f"SELECT id, md5(array_to_string({PARAS.format('content')}, chr(10) || chr(10))) AS digest FROM chapters WHERE content IS NOT NULL")
+def _(s, d):
+    """Paragraphs as rows, numbered, and joined again in order."""
+    rows = table(s, d, "chapters").filter("content IS NOT NULL").select("id", F.posexplode_outer(T.paragraphs(F.col("content"))).alias("i", "p"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("p", F.lit("")).alias("p")))), lambda x: x["p"])
+    return rows.groupBy("id").agg(F.md5(F.array_join(ordered, "\n\n")).alias("digest"))
+
+
+_FIRST = r"regexp_split_to_array(content[1:500], '[.!?]+[\s\x{A0}]+')[1]"
+_TELLING = _Sql(f"list_filter({WORDS.format('{0}')}, lambda w: length(w) > 4 AND lower(w) NOT IN ('there', 'their', 'which', 'where', 'these', 'those', 'would', 'could', 'should', 'about', 'after', 'before'))")
+
+
+@query("section_titles", rf"""
+    SELECT id, CASE WHEN regexp_matches(line, '^(CHAPTER|Chapter|PART|Part)\s+') THEN line WHEN length(first) > 20 AND len({_TELLING.format('first')}) >= 2 THEN 'Section ' || chapter_number || ': ' || array_to_string({_TELLING.format('first')}[1:3], ' ') ELSE 'Section ' || chapter_number END AS title
+    FROM (SELECT id, chapter_number, {STRIP.format("string_split(content, chr(10))[1]")} AS line, {_FIRST} AS first FROM chapters WHERE content IS NOT NULL)""")
+def _(s, d):
+    return table(s, d, "chapters").filter("content IS NOT NULL").select("id", T.section_title(F.col("content"), F.col("chapter_number")).alias("title"))
+
+
+@query("blurbs", """
+    SELECT id, CASE WHEN length(t) >= 50 THEN t ELSE coalesce(title, '') || ' by ' || coalesce(author, '') || ' is a captivating children''s book that engages young readers with its compelling story and memorable characters.' END AS blurb
+    FROM (SELECT id, title, author, CASE WHEN length(p) > 500 THEN regexp_replace(p[1:500], '(?s) [^ ]*$', '') || '...' ELSE p END AS t FROM (SELECT id, title, author, regexp_replace(regexp_replace(""" + STRIP.format("regexp_replace(description, chr(10) || '[ \t]*' || chr(10) || '+', chr(10) || chr(10), 'g')") + """, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') AS p FROM books WHERE description IS NOT NULL))""")
+def _(s, d):
+    zero = lambda c: F.coalesce(c, F.lit(""))
+    return table(s, d, "books").filter("description IS NOT NULL").select("id", T.blurb(F.col("description"), zero("title"), zero("author")).alias("blurb"))
+
+
+@query("page_fallbacks", "SELECT book_id, n, CASE WHEN n > 20 THEN '1,2,' || (n - 1) || ',' || n ELSE '1,2' END AS delete_pages, CASE WHEN n > 20 THEN n - 2 ELSE n END AS content_end_page FROM (SELECT book_id, CAST(count(*) AS INT) AS n FROM chapters GROUP BY book_id)")
+def _(s, d):
+    rows = table(s, d, "chapters").groupBy("book_id").agg(F.count("*").cast("int").alias("n"))
+    return rows.select("book_id", "n", generated.page_fallback(F.col("n")).alias("f")).select("book_id", "n", F.array_join(F.transform("f.delete_pages", lambda p: p.cast("string")), ",").alias("delete_pages"), "f.content_end_page")
+
+
 @query("stream_task_states", f"SELECT status, count(*) AS n FROM {TASKS} GROUP BY status")
 def _(s, d):
     """The task file read as a stream, repeats removed by state, run to its end, then counted."""
