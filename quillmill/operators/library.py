@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmill import config
 from quillmill.functions import text as T
+from quillmill.tables import cut_lineage
 
 
 def child_counts(parents: DataFrame, children: DataFrame, key: str, name: str = "n_children") -> DataFrame:
@@ -44,13 +45,26 @@ def nested_books(books: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, group: str, order: list[str], name: str = "number") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    """Numbers rows within groups, from 1, by columns that order them fully.
+
+    Rows are spread by ranges of group and order, so that a group which holds a third of all rows is sorted by many tasks.
+    Each row counts within its range and group; what the ranges before hold of the group is added. The ranges are written
+    once, as both steps must see the same ones.
+    """
+    ranged = cut_lineage(df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
+    local = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_range", group).orderBy(*order)))
+    before = W.partitionBy("_g").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    held = ranged.groupBy(F.col(group).alias("_g"), "_range").agg(F.count("*").alias("_n"))  # at most one row a range and group
+    held = held.select("_g", F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = local.join(held, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return joined.select(*[F.col(c) for c in df.columns], (F.col("_local") + F.col("_before")).cast("int").alias(name))
 
 
 def matter_flags(chapters: DataFrame) -> DataFrame:
     """Position of each chapter in its book, whether it lies in the first or last fifth, and whether it is front or back matter."""
-    own = W.partitionBy("book_id")
-    rows = chapters.select("id", "book_id", "title", "chapter_number").withColumn("pos", F.row_number().over(own.orderBy("chapter_number", "id")) - 1).withColumn("total", F.count("*").over(own))
+    placed = numbered(chapters.select("id", "book_id", "title", "chapter_number"), "book_id", ["chapter_number", "id"])
+    totals = chapters.groupBy(F.col("book_id").alias("_b")).agg(F.count("*").alias("total"))
+    rows = placed.join(totals, F.col("book_id").eqNullSafe(F.col("_b"))).withColumn("pos", F.col("number") - 1)
     return rows.select("id", "pos", (F.col("pos") < F.col("total") * 0.2).alias("in_front"), (F.col("pos") > F.col("total") * 0.8).alias("in_back"), T.is_matter(F.col("title"), F.col("pos"), F.col("total")).alias("is_matter"))
 
 
@@ -58,6 +72,11 @@ def unique_grades(books: DataFrame) -> DataFrame:
     return books.select(F.explode(T.grade_tags(F.col("tags"))).alias("grade")).distinct()
 
 
+def first_of(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group; tasks keep n of a group before the shuffle."""
+    return df.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by an order with ties broken by the caller."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")

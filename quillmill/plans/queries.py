@@ -293,7 +293,7 @@ def _(s, d):
 
 @query("first_questions", f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY chapter_id ORDER BY order_index, id) AS r FROM {QUESTIONS}) WHERE r <= 3")
 def _(s, d):
-    return library.numbered(_questions(s, d).select("id", "chapter_id", "order_index"), "chapter_id", ["order_index", "id"]).filter("number <= 3").select("id")
+    return library.first_of(_questions(s, d).select("id", "chapter_id", "order_index"), "chapter_id", ["order_index", "id"], 3).select("id")
 
 
 @query("vocabulary_by_length", "SELECT id, array_to_string(list_transform(list_sort(list_transform(range(1, len(vocabulary_words) + 1), lambda i: {'n': -length(vocabulary_words[i].word), 'i': i})), lambda x: vocabulary_words[x.i].word), ',') AS words FROM chapters WHERE len(vocabulary_words) > 0")
@@ -736,6 +736,28 @@ def _(s, d):
     return rows.select("book_id", "n", generated.page_fallback(F.col("n")).alias("f")).select("book_id", "n", F.array_join(F.transform("f.delete_pages", lambda p: p.cast("string")), ",").alias("delete_pages"), "f.content_end_page")
 
 
+@query("recounted_words", f"SELECT id, CASE WHEN chapter_number = 1 AND content IS NOT NULL THEN len({WORDS.format("content || ' and more'")}) ELSE word_count END AS n_words FROM chapters WHERE word_count IS NOT NULL OR (chapter_number = 1 AND content IS NOT NULL)")
+def _(s, d):
+    chapters = table(s, d, "chapters").select("id", "chapter_number", "content", "word_count")
+    changed = chapters.filter("chapter_number = 1 AND content IS NOT NULL").select("id", F.concat("content", F.lit(" and more")).alias("content"))
+    return dml.recount_words(chapters, changed).filter("word_count IS NOT NULL").select("id", F.col("word_count").alias("n_words"))
+
+
+@query("replaced_tasks", f"""
+    SELECT id FROM {TASKS} t WHERE NOT (status = 'queued' AND EXISTS (SELECT 1 FROM {TASKS} n WHERE n.status = 'error' AND n.task_type = t.task_type AND n.book_id = t.book_id AND coalesce(n.chapter_id, '') = coalesce(t.chapter_id, '')))
+    UNION ALL SELECT id || '-again' FROM {TASKS} WHERE status = 'error'""")
+def _(s, d):
+    t = _tasks(s, d)
+    again = t.filter("status = 'error'").withColumns({"id": F.concat("id", F.lit("-again")), "status": F.lit("queued")})
+    return tasks.replaced(t, again).select("id")
+
+
+@query("generated_titles", rf"""
+    SELECT id, CASE WHEN length(t) > 10 AND length(t) < 60 THEN t ELSE '-' END AS title FROM (SELECT id, array_to_string(({WORDS.format("regexp_replace(regexp_replace(regexp_replace(" + STRIP.format("title") + r", '^" + chr(34) + "+|" + chr(34) + "+$', '', 'g'), '^''+|''+$', '', 'g'), '(?i)^(chapter|section)\\s+\\d+\\s*:?\\s*', '')")})[1:6], ' ') AS t FROM chapters WHERE title IS NOT NULL)""")
+def _(s, d):
+    return table(s, d, "chapters").filter("title IS NOT NULL").select("id", T.generated_title(F.col("title"), F.lit("-")).alias("title"))
+
+
 @query("stream_task_states", f"SELECT status, count(*) AS n FROM {TASKS} GROUP BY status")
 def _(s, d):
     """The task file read as a stream, repeats removed by state, run to its end, then counted."""

@@ -53,3 +53,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(core.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_training_data(monkeypatch):
+    import importlib.util
+
+    import __spark_entry__
+
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None)
+    assert set(__spark_entry__.queries()) == set(core.QUERIES) and set(__spark_entry__.oracle_sql()) == set(core.ORACLE)

@@ -119,3 +119,14 @@ def test_notes(spark):
 def test_provider(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, prompt string")
     assert {r["id"]: r["response"] for r in generated.answered(df, lambda ps: [p.upper() for p in ps]).collect()} == {1: "A", 2: "B"}
+
+
+def test_numbers_of_hot_groups(spark):
+    rows = [("hot", i % 7, f"{i:05}") for i in range(3000)] + [(f"g{i % 50}", i % 3, f"x{i:05}") for i in range(500)] + [(None, 1, "n1"), (None, 0, "n2")]
+    got = library.numbered(spark.createDataFrame(rows, "g string, k int, id string"), "g", ["k", "id"]).collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        for n, r in enumerate(sorted(x[1:] for x in rows if x[0] == g), 1):
+            want[g, r[1]] = n
+    assert {(r["g"], r["id"]): r["number"] for r in got} == want and len(got) == len(rows)
+    assert library.numbered(spark.createDataFrame([], "g string, k int, id string"), "g", ["k", "id"]).count() == 0
