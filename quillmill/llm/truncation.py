@@ -28,12 +28,15 @@ CAN_END = 0.2
 #: Sentences of one beginning that end fewer texts than this share are followed by another one: at a limit, and elsewhere,
 #: where at least SEEN of them must be known.
 RARE_LAST, NEVER_LAST, SEEN = 0.03, 0.002, 30
+FILTER_SLOTS = 1 << 20
 #: A word is known if it stands inside texts this often.
 KNOWN = 2
 WS = r"\s\u0085   -     　"
 _CLOSED = rf"[.!?…。！？؟।]['\"”’»)\]]*$"
 #: Half a sign: two of three dots, or what stands for a character of which bytes are missing.
 _HALF = r"(?:^|[^.])\.\.$|\uFFFD$"
+#: Texts shortened after any word end so; what stands before is no end of a sentence.
+_SHORTENED = r"(?:\.{2,}|…)['\"”’»)\]]*$"
 _WORD = r"[\p{L}\p{M}\p{N}]+(?:[’'][\p{L}]+)?"
 
 
@@ -95,14 +98,20 @@ def _keys(w: Column, i: Column) -> Column:
     )
 
 
-def place_counts(texts: DataFrame) -> DataFrame:
-    """(key, ends, goes_on) over all finished sentences of all texts."""
+def place_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, ends, goes_on) over all finished sentences of all texts, for the keys that are asked for.
+
+    A filter of at most FILTER_SLOTS numbers keeps most other keys out of the shuffle.
+    """
+    slot = F.pmod("key", F.lit(FILTER_SLOTS)).cast("int").alias("slot")
+    wanted = F.broadcast(asked.select(slot).distinct())
     parts = texts.select("field", sentences(F.col("text")).alias("parts"))
-    units = parts.select("field", F.size("parts").alias("of"), F.posexplode("parts").alias("number", "s")).filter(F.col("s").rlike(_CLOSED)).select("field", (F.col("number") + 1 == F.col("of")).cast("int").alias("last"), words(F.col("s")).alias("w")).filter("size(w) > 1")
+    units = parts.select("field", F.size("parts").alias("of"), F.posexplode("parts").alias("number", "s")).filter(F.col("s").rlike(_CLOSED) & ~F.col("s").rlike(_SHORTENED)).select("field", (F.col("number") + 1 == F.col("of")).cast("int").alias("last"), words(F.col("s")).alias("w")).filter("size(w) > 1")
     places = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(_keys(F.col("w"), i), lambda k: F.struct(k.alias("key"), (i == F.size("w")).cast("int").alias("end")))))
     whole = F.array(F.struct(_text_key(F.col("field"), F.col("w")).alias("key"), F.col("last").alias("end")))
-    rows = units.select(F.explode(F.concat(places, whole)).alias("p"))
-    return rows.groupBy(F.col("p.key").alias("key")).agg(F.sum("p.end").alias("ends"), F.sum(1 - F.col("p.end")).alias("goes_on"))
+    rows = units.select(F.explode(F.concat(places, whole)).alias("p")).select("p.key", "p.end")
+    rows = rows.withColumn("slot", slot).join(wanted, "slot", "left_semi")
+    return rows.groupBy("key").agg(F.sum("end").alias("ends"), F.sum(1 - F.col("end")).alias("goes_on"))
 
 
 def limits(texts: DataFrame) -> DataFrame:
@@ -149,7 +158,7 @@ def classified(spark: SparkSession, books: DataFrame, questions: DataFrame) -> D
     keys = F.concat(_keys(F.col("w"), F.size("w")), F.array(_text_key(F.col("field"), F.col("w"))))
     keyed = open_.filter("size(w) > 0").select("field", "record_id", F.posexplode(keys).alias("level", "key"))
     enough = (F.col("level") < 5) & (F.col("ends") + F.col("goes_on") >= F.when(F.col("level") == 4, 1).otherwise(2))
-    known = keyed.join(place_counts(texts), "key").groupBy("field", "record_id")
+    known = keyed.join(place_counts(texts, keyed), "key").groupBy("field", "record_id")
     known = known.agg(F.min(F.when(enough, F.struct("level", "ends", "goes_on"))).alias("place"), F.max(F.when(F.col("level") == 5, F.col("ends") / (F.col("ends") + F.col("goes_on")))).alias("ends_texts"), F.max(F.when(F.col("level") == 5, F.col("ends") + F.col("goes_on"))).alias("of_texts"))
     # What is known of the last word, and of names of the same book that begin with it.
     ends = open_.select("field", "record_id", F.lower("end_word").alias("word")).join(vocabulary, "word").select("field", "record_id", F.lit(True).alias("is_word"))
