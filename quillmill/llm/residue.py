@@ -3,7 +3,8 @@
 Labelling functions (phrases, response statuses, shapes of slots) give weak labels to a bounded sample of texts. A logistic
 model with L2 penalty is fitted on hashed n-grams of the labelled segments, on the shapes of bracketed signs, on lengths and
 on whether a text repeats its own title; it then scores every segment of every text, and a text counts by its worst
-segment. ``validation`` fits without one source (the host of a record) at a time and reports agreement on that source.
+segment. ``validation`` fits without one source (the host of a record) at a time, on a sample of the same size, and reports
+how far the score alone agrees with the weak labels on every text of that source.
 
 Defined cases: null, empty and blank texts are no case and have no score; a row delivered twice counts once (by id); very
 long texts are scored segment by segment, whole; extra columns are dropped.
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.llm.tokens import slices
@@ -28,6 +30,8 @@ BUCKETS = 1 << 16
 MOST_POSITIVE, MOST_NEGATIVE = 3000, 8000
 #: Texts from CANDIDATE on are looked at for the evidence that the labelling functions name; from SURE on they need none.
 CANDIDATE, SURE = 0.02, 0.95
+#: The score alone takes a text for residue from here on; validation counts by it.
+LIKELY = 0.5
 
 #: Names that templates give to their slots.
 SLOT_NAMES = "author|title|book_title|chapter_title|character|character_name|hero_name|noun|verb|adjective|place|event|setting|grade_level|name|topic|subject"
@@ -219,18 +223,53 @@ def clean(spark: SparkSession, books: DataFrame, questions: DataFrame) -> DataFr
     return scored(spark, books, questions).filter("NOT residue").select("field", "record_id").distinct()
 
 
+def samples_without(texts: DataFrame, sources: list[str], positive: int = MOST_POSITIVE, negative: int = MOST_NEGATIVE) -> tuple[list[tuple[str, str | None]], dict[str, list[int]]]:
+    """The texts (text, title) of all samples, and for each source the places of what ``training_texts`` draws from the others."""
+    own = texts.select(F.coalesce("source", F.lit("")).alias("source"), "title", "text", "field", F.xxhash64("record_id").alias("h"))
+    named = own.filter(F.col("text").rlike(_java("|".join(f"(?:{p})" for p in [*SLOTS, *FILLER, *ERRORS, *SCRIPTS]))))
+    order = F.row_number().over(W.partitionBy("field", "source").orderBy("h", "text"))
+    wanted: dict[str, dict[tuple, tuple]] = {s: {} for s in sources}
+    for rows, most in ((named, positive), (own, negative)):
+        lowest = sorted(rows.withColumn("r", order).filter(F.col("r") <= most).collect(), key=lambda r: (r["h"], r["text"]))
+        for s in sources:
+            for field in ("description", "question_text"):
+                rest = [r for r in lowest if r["field"] == field and r["source"] != s][:most]
+                wanted[s] |= {(field, r["h"], r["text"]): (r["text"], r["title"]) for r in rest}
+    every: dict[tuple, tuple] = {}
+    for drawn in wanted.values():
+        every |= drawn
+    place = {k: i for i, k in enumerate(sorted(every))}
+    return [every[k] for k in place], {s: sorted(place[k] for k in drawn) for s, drawn in wanted.items()}
+
+
 def validation(spark: SparkSession, books: DataFrame, questions: DataFrame) -> DataFrame:
     """Query p5_validation: agreement with the weak labels on each source, by a model fitted without it.
 
-    One row per source of the bounded sample: (source, n_texts, n_weak, n_found, n_agree).
+    One row per source over all its texts, null as the empty name: (source, n_texts, n_weak, n_found, n_agree). n_found
+    counts by the score alone, without the evidence that the weak labels are made of.
     """
-    sample = training_texts(texts_of(books, questions), 600, 1200)
-    out = []
-    for source in sorted({r["source"] or "" for r in sample}):
-        rest = [(r["text"], r["title"]) for r in sample if (r["source"] or "") != source]
-        own = [r for r in sample if (r["source"] or "") == source]
-        model = fit(rest, steps=120)
-        got = [judged(r["text"], model.score(r["text"], r["title"])) for r in own]
-        weak = [bool(RULES.search(r["text"])) for r in own]
-        out.append((source, len(own), sum(weak), sum(got), sum(g == w for g, w in zip(got, weak))))
-    return spark.createDataFrame(out, "source string, n_texts int, n_weak int, n_found int, n_agree int")
+    texts = texts_of(books, questions)
+    sources = sorted(r["source"] for r in texts.select(F.coalesce("source", F.lit("")).alias("source")).distinct().collect())
+    schema = "source string, n_texts int, n_weak int, n_found int, n_agree int"
+    if not sources:
+        return spark.createDataFrame([], schema)
+    drawn = spark.sparkContext.broadcast(samples_without(texts, sources))
+
+    def fitted(source: str) -> tuple[str, ResidueModel]:
+        every, places = drawn.value
+        return source, fit([every[i] for i in places[source]])
+
+    models = spark.sparkContext.broadcast(dict(spark.sparkContext.parallelize(sources, len(sources)).map(fitted).collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_source = models.value
+        for batch in slices(batches):
+            own, titles, texts = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            got = [by_source[s].score(t, title) >= LIKELY for s, title, t in zip(own, titles, texts)]
+            weak = [bool(RULES.search(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(got, pa.bool_()), pa.array(weak, pa.bool_())], ["field", "record_id", "source", "got", "weak"])
+
+    rows = texts.select("field", "record_id", F.coalesce("source", F.lit("")).alias("source"), "title", "text")
+    each = rows.mapInArrow(run, "field string, record_id string, source string, got boolean, weak boolean").dropDuplicates(["field", "record_id"])
+    counts = [F.count("*"), F.count_if("weak"), F.count_if("got"), F.count_if(F.col("got") == F.col("weak"))]
+    return each.groupBy("source").agg(*[c.cast("int").alias(n) for c, n in zip(counts, ("n_texts", "n_weak", "n_found", "n_agree"))])

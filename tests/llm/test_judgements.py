@@ -74,6 +74,27 @@ def test_residue_on_unseen_hosts(spark, data):
         assert r["n_agree"] >= 0.95 * r["n_texts"]
 
 
+def test_validation_counts_every_text(spark, data):
+    """More texts than any sample of the old size held; each delivered twice counts once."""
+    books, questions = table(spark, data, "books"), table(spark, data, "questions")
+    many = questions.crossJoin(spark.range(12).withColumnRenamed("id", "copy")).withColumn("id", F.concat_ws("-", "id", "copy")).drop("copy")
+    texts = residue.texts_of(books, many).dropDuplicates(["field", "record_id"]).collect()
+    got = {r["source"]: r for r in residue.validation(spark, books, many).collect()}
+    assert sum(r["source"] is not None for r in texts) > 1800
+    for source in {r["source"] or "" for r in texts}:
+        own = [r["text"] for r in texts if (r["source"] or "") == source]
+        assert (got[source]["n_texts"], got[source]["n_weak"]) == (len(own), sum(bool(residue.RULES.search(t)) for t in own))
+
+
+def test_samples_without_a_source(spark, data):
+    texts = residue.texts_of(table(spark, data, "books"), table(spark, data, "questions"))
+    sources = sorted({r["source"] or "" for r in texts.collect()})
+    every, places = residue.samples_without(texts, sources, 5, 30)
+    for s in sources[:3]:
+        rest = residue.training_texts(texts.filter(F.coalesce("source", F.lit("")) != s), 5, 30)
+        assert [every[i] for i in places[s]] == [(r["text"], r["title"]) for r in rest]
+
+
 def test_marks_and_ends(spark):
     texts = ["It ended.", "It ended?”", "See (p. 12)", "fine 🙂", "no mark", "the &am", "a <em>b", "open (and", "list,", "“quoted", "x &amp;", "wait...", "wait..", "caf\ufffd"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
