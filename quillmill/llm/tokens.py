@@ -1,8 +1,8 @@
 """Problem 6: encoding a corpus with a public byte-level BPE vocabulary.
 
-Pre-tokenisation works on code-point class arrays: runs of one class are found with shifted comparisons and a running
-maximum (an associative scan), so no regular expression walks the text. The resulting slices go through a cache of merged
-pieces. Byte offsets of the tokens can be kept, so every slice of the text can be decoded again.
+Pre-tokenisation works on code-point class arrays: runs of one class are found with shifted comparisons, so no
+regular expression walks the text and no scan is needed. The resulting slices go through a cache of merged pieces.
+Byte offsets of the tokens can be kept, so every slice of the text can be decoded again.
 
 Defined cases: null text and empty text give an empty list; rows are kept one for one, repeated rows included; extra
 columns do not matter, only ``id_col`` and ``text_col`` are read. The strings of special tokens are ordinary text.
