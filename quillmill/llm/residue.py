@@ -1,10 +1,12 @@
 """Problem 5: template residue, filler, error messages and demands for scripts where real text should be.
 
-Labelling functions (phrases, response statuses, shapes of slots) give weak labels to a bounded sample of texts. A logistic
-model with L2 penalty is fitted on hashed n-grams of the labelled segments, on the shapes of bracketed signs, on lengths and
-on whether a text repeats its own title; it then scores every segment of every text, and a text counts by its worst
-segment. ``validation`` fits without one source (the host of a record) at a time, on a sample of the same size, and reports
-how far the score alone agrees with the weak labels on every text of that source.
+Labelling functions (phrases, response statuses, shapes of slots) give weak labels to a bounded sample of texts. Real texts
+of the sample also return with an unfilled slot, or with a harmless sign (a blank, a price, a bracketed number), put in
+place of a word. A logistic model with L2 penalty is fitted on hashed n-grams, on the shapes of signs, on lengths and on
+whether a text repeats its own title. It reads every segment of every text, and the few words around the word of greatest
+weight by themselves, so that a slot is not drowned by a long sentence; a text counts by its worst part. The score alone
+decides, from LIKELY on. ``validation`` fits without one source (the host of a record) at a time, on a sample of the same
+size, and reports how far the score agrees with the weak labels on every text of that source.
 
 Defined cases: null, empty and blank texts are no case and have no score; a row delivered twice counts once (by id); very
 long texts are scored segment by segment, whole; extra columns are dropped.
@@ -16,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,10 @@ from quillmill.llm.tokens import slices
 BUCKETS = 1 << 16
 #: Most texts of the rare label, and most of all, that the model is fitted on, for each of the two fields.
 MOST_POSITIVE, MOST_NEGATIVE = 3000, 8000
-#: Texts from CANDIDATE on are looked at for the evidence that the labelling functions name; from SURE on they need none.
-CANDIDATE, SURE = 0.02, 0.95
-#: The score alone takes a text for residue from here on; validation counts by it.
-LIKELY = 0.5
+#: A text is residue from this score on.
+LIKELY = 0.55
+#: Words on either side of the weightiest one that are scored by themselves, and texts of the sample that return changed.
+AROUND, CHANGED = 3, 2500
 
 #: Names that templates give to their slots.
 SLOT_NAMES = "author|title|book_title|chapter_title|character|character_name|hero_name|noun|verb|adjective|place|event|setting|grade_level|name|topic|subject"
@@ -39,7 +42,7 @@ SLOT_NAMES = "author|title|book_title|chapter_title|character|character_name|her
 SLOTS = [
     r"\{\{[^{}]{0,60}\}\}", r"\$\{[^{}]{0,60}\}", r"#\{[^{}]{0,60}\}", r"\{%[^{}]{0,60}%\}", r"<<[^<>]{1,60}>>", r"<%=?[^%]{0,60}%>", r"\[\[[^\[\]]{1,60}\]\]",
     r"\[insert [^\[\]]{1,60}\]", r"\[your [^\[\]]{1,60}\]", r"%\(\w{1,60}\)[sd]", r"%(?:\d\$)?[sd]\b", r"(?<![_\w])__[a-z]\w{0,60}?__", r"@@\w{1,60}@@", r"\$[a-z]\w{0,60}\$",
-    r"\{\d\}", rf"\{{(?:{SLOT_NAMES})\}}", rf"\[(?:{SLOT_NAMES})\]", rf"<(?:{SLOT_NAMES})>", r"\[object object\]", r"(?<![\w-])(?:undefined|nan|null)(?![\w-])",
+    r"\{\d\}", rf"\{{(?:{SLOT_NAMES})\}}", rf"\[(?:{SLOT_NAMES})\]", rf"<(?:{SLOT_NAMES})>", r"\[object object\]", r"(?-i:(?<![\w-])(?:undefined|null|NaN|UNDEFINED|NULL|NAN)(?![\w-]))", r"(?-i:^[^A-Z]*(?<![\w-])nan(?![\w-]))",
 ]
 #: Filler and instructions left from templates.
 FILLER = [
@@ -56,34 +59,35 @@ ERRORS = [
 ]
 #: Demands for scripts or browser checks.
 SCRIPTS = [
-    r"\bjavascript\b", r"<noscript>", r"\bturn on scripts\b", r"\ballow scripts\b", r"\bwithout scripting support\b", r"\bchecking your browser\b", r"\benable cookies\b", r"\bverify (?:that )?you are (?:a )?human\b",
+    r"\b(?:enable|activate|activer|aktivieren|disabled|requires?|needs?|allow|turn on|without)\b.{0,30}\bjavascript\b", r"\bjavascript\b.{0,30}\b(?:disabled|required|needed|off|aktivieren)\b", r"<noscript>", r"\bturn on scripts\b", r"\ballow scripts\b", r"\bwithout scripting support\b", r"\bchecking your browser\b", r"\benable cookies\b", r"\bverify (?:that )?you are (?:a )?human\b",
 ]
 RULES = re.compile("|".join(f"(?:{p})" for p in [*SLOTS, *FILLER, *ERRORS, *SCRIPTS]), re.IGNORECASE)
-#: Signs that may start a rule; a cheap first look in the scan that chooses the sample.
 _SEGMENT = re.compile(r"(?<=[.!?])[\s”\"’)]+")
 _TOKEN = re.compile(r"[^\W_]+|_+|[^\w\s]+")
 _SIGNS = re.compile(r"[^\w\s.,;:!?“”‘’\"'()—–…-]")
-#: Texts that only speak of such things, fitted on as examples of the other label.
-SPOKEN_OF = [
-    "Why does the robot answer “ERROR” whenever the boy asks about the map?", "Why is the message “access denied” painted on the crooked door?", "How does the girl correct the error on the broken map?", "Why does the hidden sign on room 404 say “Not found”?",
-    "Why do the waiters bow, and who is the null-point of the compass?", "How many {curly} shapes does the boy draw, and why?", "Which word [in the second line] tells you that it is striped?", "Fill in the missing word: the cat hid under the ______.", "Why was she 100% sure that he took it?",
-    "How did he feel when the page was not found in the secret notebook?", "Why did the saddle forget the script for the school play?", "The placeholder on the shelf was only a needle, until she dusted it.", "“Please enable the river!” shouts the captain in this comedy about a very old ship.",
-    "[Illustrated] She learns to write a script for a robot that only says “error”.", "He works the night shift at an island where every server is named Tom, and one of them has gone missing.", "A choose-your-path story: turn to page 404 if he opens the door, or stop if the page was torn.",
-]
-#: One text for each kind, so that kinds too rare for a small sample are known too.
-KINDS = [
-    "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.", "Ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat.", "TODO: write item 3", "Sample question 2",
-    "Dummy text 4, replace before publishing", "Question text goes here (3)", "Type your question here.", "Insert a question about the setting here.", "Description coming soon.", "Your text here", "Add description here.", "N/A - fill in later", "TBD", "xxx", "placeholder", "test test test", "asdf asdf",
-    "You need to turn on scripts to run this app.", "Bitte aktivieren Sie JavaScript, um fortzufahren.", "Loading... if nothing appears, allow scripts and reload.", "JavaScript is disabled in your browser.", "This content cannot be shown without scripting support.", "Please enable JavaScript to view this page.",
-    "<noscript>This site requires JavaScript.</noscript>", "Veuillez activer JavaScript.", "Checking your browser before you proceed.", "Página no encontrada", "Seite nicht gefunden", "Cette page est introuvable.", "Access to this page has been denied.", "We are down for maintenance and will be back shortly.",
-    "Your session has expired. Sign in again to continue.", "Oops! The page you requested could not be found.", "Quota used up for this model, retry tomorrow.", "connection refused (os error 111)", "The server took too long to answer.", "Request timed out after 30 s", "cannot read property 'text' of undefined (line 9)",
-    "Error 17. Please go back and try again.", "Something went wrong on our side. Reference 0a0b", 'Traceback (most recent call last): File "worker", line 9, in generate', "[object Object]", "undefined", "NaN", "null",
-    *[f"{c} {s.title()}" for c, s in zip((500, 404, 429, 503, 502, 504, 403), STATUSES.split("|"))], *[f"HTTP {c}: {s.title()}" for c, s in zip((500, 404, 429, 503, 502, 504, 403), STATUSES.split("|"))],
-    *[f"The gateway says: {s.title()}" for s in STATUSES.split("|")[:7]], *[f"{s.replace(' ', '_')}: upstream returned 500" for s in STATUSES.split("|")[:7]], *[f'{{"status": {c}, "message": "{s.title()}"}}' for c, s in zip((500, 404, 429, 503, 502, 504, 403), STATUSES.split("|"))],
-    *[f"<html><head><title>{c} {s.title()}</title></head><body><h1>{s.title()}</h1></body></html>" for c, s in zip((500, 404, 429, 503, 502, 504, 403), STATUSES.split("|"))],
-    *[shape % name for name in SLOT_NAMES.split("|") for shape in ("{{%s}}", "${%s}", "#{%s}", "<<%s>>", "<%%= %s %%>", "[[%s]]", "[INSERT %s]", "[your %s here]", "%%(%s)s", "__%s__", "@@%s@@", "$%s$", "{%s}", "[%s]", "<%s>", "{{ %s }}")],
-    "{0}", "{1}", "{2}", "%s", "%1$s", "%d", "Error: why did it stop?",
-]
+#: Ways to write a slot, and signs that real texts have in place of a word.
+SLOT_SHAPES = ["{{%s}}", "{{ %s }}", "${%s}", "#{%s}", "{%% %s %%}", "<<%s>>", "<%%= %s %%>", "[[%s]]", "[insert %s]", "[your %s]", "%%(%s)s", "__%s__", "@@%s@@", "$%s$", "{%s}", "[%s]", "<%s>"]
+WRONGLY_FILLED = ["[object Object]", "undefined", "NaN", "null", "{0}", "{1}", "%s", "%d", "%1$s"]
+HARMLESS = ["____", "__", "_______", "[3]", "[sic]", "[2, 5]", "$12.99", "$5", "100%", "7%", "#1", "{a, b}", "<3", "(x)", "&amp;", "@home", "Null Street", "Null Hill", "Mr. Null", "Nan", "[Abridged]", "[Audio book]", "“error”", "“not found”", "“access denied”", "“ERROR”", "placeholder", "JavaScript", "script", "🙂", "★", "→", "½", "No. 7", "(p. 12)", "*", "3 + __ = 7", "[of the page]", "<em>this</em>", "{round}"]
+
+
+#: Parts of which notices of programs and templates are made, so that a small sample knows such wording too.
+THINGS = "page link file request server session connection service document image".split()
+FAILED = ["could not be found", "is not available", "has expired", "timed out", "was refused", "is broken", "failed to load", "is down for maintenance", "cannot be reached", "was denied"]
+AFTER = ["", " Please try again later.", " Please log in again.", " Go back and reload.", " (code 17)", " Contact support."]
+ASKED = ["enable", "activate", "turn on", "allow"]
+MEANS = ["JavaScript", "scripts", "cookies"]
+WHY = ["to continue.", "in your browser.", "to view this content.", "and reload.", "to run this app."]
+
+
+def notices() -> list[str]:
+    """Made-up notices, all of them residue."""
+    out = [f"{start} {thing} {failed}.{AFTER[(i + j) % len(AFTER)]}" for start in ("The", "Sorry, this", "Your") for i, thing in enumerate(THINGS) for j, failed in enumerate(FAILED) if (i + j) % 3 == 0]
+    out += [f"{start}{verb} {means} {why}" for start in ("Please ", "You must ", "") for verb in ASKED for means in MEANS for why in WHY]
+    codes = zip((500, 404, 429, 503, 502, 504, 403, 401, 400), STATUSES.split("|"))
+    out += [form.format(code, status.title()) for code, status in codes for form in ("{0} {1}", "HTTP {0}: {1}", "Error {0}: {1}", '{{"status": {0}, "error": "{1}"}}', "<title>{0} {1}</title>")]
+    out += ["Lorem ipsum dolor sit amet", "consectetur adipiscing elit, sed do eiusmod tempor", "TODO", "TODO: fill in", "TBD", "placeholder", "xxx", "test", "test test", "asdf", "N/A", "Text goes here.", "Add text here.", "Coming soon."] * 3
+    return out
 
 
 def segments(text: str) -> list[str]:
@@ -91,20 +95,38 @@ def segments(text: str) -> list[str]:
     return [s for s in _SEGMENT.split(text) if s.strip()] or [text]
 
 
-def features(segment: str, n_segments: int, titled: bool) -> list[int]:
-    """Hashed n-grams, sign shapes, length classes and the title feature of a segment."""
-    low = segment.lower()
-    tokens = _TOKEN.findall(low)
-    tokens = [re.sub(r"\d", "0", t) for t in tokens]
-    out = [f"1:{t}" for t in tokens] + [f"2:{a} {b}" for a, b in zip(["^", *tokens], [*tokens, "$"])] + [f"3:{a} {b} {c}" for a, b, c in zip(tokens, tokens[1:], tokens[2:])]
-    if _SIGNS.search(low):
+@lru_cache(1 << 18)
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % BUCKETS
+
+
+def _single(token: str) -> str:
+    """The feature of one word; a capitalised one is another word than the same in small or all capital letters."""
+    return "1:" + (token if token.istitle() and len(token) > 1 else re.sub(r"\d", "0", token.lower()))
+
+
+def features(segment: str, n_segments: int, titled: bool, whole: bool = True) -> list[int]:
+    """Hashed n-grams and sign shapes of a segment or of a part of it; of a whole one also length classes and the title feature."""
+    raw = _TOKEN.findall(segment)
+    tokens = [re.sub(r"\d", "0", t.lower()) if not t.isalpha() else t.lower() for t in raw]
+    ends = ("^", "$") if whole else ("", "")
+    out = [_single(t) for t in raw] + [f"2:{a} {b}" for a, b in zip([ends[0], *tokens], [*tokens, ends[1]])] + [f"3:{a} {b} {c}" for a, b, c in zip(tokens, tokens[1:], tokens[2:])]
+    if _SIGNS.search(segment):
+        low = segment.lower()
         for chunk in re.findall(r"[^\w\s]*[\[\]{}<>%#$@_\\|~][^\s]*(?: [^\s\[\]{}<>]{1,30}){0,2}[^\s]*", low):
             shape = re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+(?:_[^\W\d_]+)*", "a", chunk))
             out += [f"s:{shape[:12]}"] * 2 + [f"s:{shape[:3]}", f"c:{chunk[:24]}"]
         out += [f"b:{m}" for m in re.findall(r"[\[{<%#$@_]{1,2}|[\]}>%@_]{1,2}", low)]
-    short = len(tokens)
-    out += [f"l:{min(short // 3, 6)}", f"n:{min(n_segments, 3)}:{min(short // 6, 3)}", f"t:{titled}"]
-    return [zlib.crc32(f.encode()) % BUCKETS for f in out]
+    if whole:
+        out += [f"l:{min(len(tokens) // 3, 6)}", f"n:{min(n_segments, 3)}:{min(len(tokens) // 6, 3)}", f"t:{titled}"]
+    return [_bucket(f) for f in out]
+
+
+def part_around(segment: str, place: int) -> str:
+    """The words around the one at a character."""
+    spans = [m.span() for m in re.finditer(r"\S+", segment)]
+    i = next((k for k, (_, end) in enumerate(spans) if end > place), len(spans) - 1)
+    return segment[spans[max(i - AROUND, 0)][0] : spans[min(i + AROUND, len(spans) - 1)][1]]
 
 
 @dataclass
@@ -112,61 +134,98 @@ class ResidueModel:
     weights: np.ndarray
     bias: float
 
+    def _sum(self, f: list[int]) -> float:
+        return float(self.weights[f].sum() / np.sqrt(len(f))) + self.bias if f else -np.inf
+
+    def weightiest(self, segment: str) -> str | None:
+        """The words around the token of greatest weight, if the segment is longer than these."""
+        tokens = list(_TOKEN.finditer(segment))
+        if len(tokens) <= 2 * AROUND + 2:
+            return None
+        own = [_bucket(_single(m[0])) for m in tokens]
+        return part_around(segment, tokens[int(np.argmax(self.weights[own]))].start())
+
     def score(self, text: str, title: str | None = None) -> float:
-        """Probability that the worst segment is residue."""
+        """Probability that the worst part is residue."""
         parts = segments(text)
         titled = bool(title) and title in text
         best = -np.inf
         for s in dict.fromkeys(parts):
-            f = features(s, len(parts), titled)
-            best = max(best, float(self.weights[f].sum() / np.sqrt(len(f))) + self.bias)
-        return 1 / (1 + np.exp(-best))
-
+            best = max(best, self._sum(features(s, len(parts), titled)))
+            near = self.weightiest(s)
+            if near is not None:
+                best = max(best, self._sum(features(near, 1, False, whole=False)))
+        return float(1 / (1 + np.exp(-best)))
+
+
+def labelled(texts: list[tuple[str, str | None]]) -> tuple[list[list[int]], list[int], list[str]]:
+    """Rows of features and their weak labels, of whole segments and of parts of them; then the segments without residue."""
+    rows, labels, plain = [], [], []
+
+    def add(row: list[int], label: bool) -> None:
+        if row:
+            rows.append(row)
+            labels.append(int(label))
+
+    def put(segment: str, sign: str, label: bool, seed: int) -> None:
+        """A segment in which one word is replaced."""
+        words = segment.split(" ")
+        k = seed % len(words)
+        changed = " ".join([*words[:k], sign, *words[k + 1 :]])
+        add(features(changed, 1, False), label)
+        add(features(part_around(changed, len(" ".join(words[:k])) + 1), 1, False, whole=False), label)
 
-def labelled(texts: list[tuple[str, str | None]]) -> tuple[list[list[int]], list[int]]:
-    rows, labels = [], []
     for text, title in texts:
         parts = segments(text)
         titled = bool(title) and title in text
-        hit = [bool(RULES.search(s)) for s in parts]
-        whole = not any(hit) and bool(RULES.search(text))
-        for s, h in zip(parts, hit):
-            rows.append(features(s, len(parts), titled))
-            labels.append(int(h or whole))
-    return rows, labels
-
-
-def fit(texts: list[tuple[str, str | None]], penalty: float = 1e-6, steps: int = 300, rate: float = 30.0) -> ResidueModel:
+        hits = [RULES.search(s) for s in parts]
+        over = not any(hits) and bool(RULES.search(text))
+        for s, h in zip(parts, hits):
+            add(features(s, len(parts), titled), bool(h or over))
+            if h:
+                add(features(part_around(s, h.start()), 1, False, whole=False), True)
+            elif not over:
+                plain.append(s)
+                add(features(part_around(s, zlib.crc32(s.encode()) % len(s)), 1, False, whole=False), False)
+    for notice in notices():
+        add(features(notice, 1, False), True)
+    names = SLOT_NAMES.split("|")
+    for i, s in enumerate(plain[:: max(len(plain) // CHANGED, 1)][:CHANGED]):
+        seed = zlib.crc32(s.encode())
+        shape = seed % (len(SLOT_SHAPES) + 4)
+        put(s, SLOT_SHAPES[shape] % names[seed // 32 % len(names)] if shape < len(SLOT_SHAPES) else WRONGLY_FILLED[seed // 32 % len(WRONGLY_FILLED)], True, seed // 512)
+        put(s, HARMLESS[i % len(HARMLESS)], False, seed // 512)
+        put(f"{HARMLESS[i * 7 % len(HARMLESS)]} {s}", HARMLESS[i * 3 % len(HARMLESS)], False, seed // 512)
+    return rows, labels, plain
+
+
+def _descend(rows: list[list[int]], labels: list[int], start: ResidueModel, penalty: float, steps: int, rate: float) -> ResidueModel:
     """Logistic regression by gradient descent with momentum."""
-    rows, labels = labelled(texts)
-    for text in KINDS:
-        rows.append(features(text, 1, False))
-        labels.append(1)
-        # The same within a sentence, as a slot or an appended notice would stand.
-        rows.append(features(f"How does the old {text} change what she believes about it?", 1, False))
-        labels.append(int(len(text) < 30 and bool(RULES.search(f"a {text} b"))))
-    for text in SPOKEN_OF * 3:
-        rows.append(features(text, 1, False))
-        labels.append(0)
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
     starts = np.cumsum(sizes) - sizes
     norm = 1 / np.sqrt(sizes)
     y = np.asarray(labels, float)
-    balance = np.full(len(y), 1 / len(y))
-    w, b, vw, vb = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), 0.0
+    w, b, vw, vb = start.weights.astype(float), start.bias, np.zeros(BUCKETS), 0.0
     for _ in range(steps):
         z = np.add.reduceat(w[flat], starts) * norm + b
-        gap = (1 / (1 + np.exp(-z)) - y) * balance
+        gap = (1 / (1 + np.exp(-z)) - y) / len(y)
         vw = 0.9 * vw - rate * (np.bincount(flat, np.repeat(gap * norm, sizes), BUCKETS) + penalty * w)
         vb = 0.9 * vb - rate * 0.1 * gap.sum()
         w, b = w + vw, b + vb
     return ResidueModel(w.astype(np.float32), float(b))
 
 
-def judged(text: str, score: float) -> bool:
-    """The classifier proposes; evidence settles what it is not sure of."""
-    return bool(score >= SURE or (score >= CANDIDATE and RULES.search(text)))
+def fit(texts: list[tuple[str, str | None]], penalty: float = 1e-6, steps: int = 250, rate: float = 30.0) -> ResidueModel:
+    """Two rounds: the second also learns from the weightiest parts of segments without residue, by the first's weights."""
+    rows, labels, plain = labelled(texts)
+    none = ResidueModel(np.zeros(BUCKETS, np.float32), 0.0)
+    if not rows:
+        return ResidueModel(none.weights, -10.0)
+    model = _descend(rows, labels, none, penalty, steps, rate)
+    near = [p for p in map(model.weightiest, dict.fromkeys(plain)) if p]
+    rows += [features(p, 1, False, whole=False) for p in near]
+    return _descend(rows, [*labels, *[0] * len(near)], model, penalty, steps, rate)
 
 
 def _java(pattern: str) -> str:
@@ -202,7 +261,7 @@ def scores(spark: SparkSession, texts: DataFrame, model: ResidueModel) -> DataFr
         for batch in slices(batches):
             texts = batch.column(4).to_pylist()
             found = [model.score(t, title) for t, title in zip(texts, batch.column(3).to_pylist())]
-            bad = [judged(t, s) for t, s in zip(texts, found)]
+            bad = [s >= LIKELY for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.float64()), pa.array(bad, pa.bool_())], ["field", "record_id", "source", "score", "residue"])
 
     return texts.select("field", "record_id", "source", "title", "text").mapInArrow(run, "field string, record_id string, source string, score double, residue boolean")
@@ -246,7 +305,7 @@ def validation(spark: SparkSession, books: DataFrame, questions: DataFrame) -> D
     """Query p5_validation: agreement with the weak labels on each source, by a model fitted without it.
 
     One row per source over all its texts, null as the empty name: (source, n_texts, n_weak, n_found, n_agree). n_found
-    counts by the score alone, without the evidence that the weak labels are made of.
+    counts by the score, as ``found`` does.
     """
     texts = texts_of(books, questions)
     sources = sorted(r["source"] for r in texts.select(F.coalesce("source", F.lit("")).alias("source")).distinct().collect())

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,31 @@ GOOD = [
 ]
 
 
+UNSEEN_GOOD = ["Fill in: 3 + __ = 7", "Read chapters [3] to [5] and compare.", "Price: $12.99 (hardcover)", "Why does Null Island have no people?", "What happens when JavaScript runs in the browser?"]
+UNSEEN_BAD = ["Sorry, we could not load this page. Try again.", "Please switch on cookies before you go on.", "Your profile could not be saved. Retry later.", "Hello [[nickname]], how was the trip to the lake?", "Which of the two did ${hero_1} like more, and why?"]
+
+
+def test_residue_in_unseen_words(spark, data):
+    texts = residue.texts_of(table(spark, data.replace("sf0.001", "sf0.01"), "books"), table(spark, data.replace("sf0.001", "sf0.01"), "questions"))
+    model = residue.fit([(r["text"], r["title"]) for r in residue.training_texts(texts)])
+    assert not [t for t in UNSEEN_GOOD if model.score(t) >= residue.LIKELY]
+    assert sum(model.score(t) >= residue.LIKELY for t in UNSEEN_BAD) >= 4
+
+
+@pytest.mark.parametrize("family", ["SLOTS", "FILLER", "ERRORS", "SCRIPTS"])
+def test_residue_decides_without_rules(spark, data, family):
+    """Whatever the rules name is found by the score alone, and little else."""
+    rule = re.compile("|".join(f"(?:{p})" for p in getattr(residue, family)), re.IGNORECASE)
+    texts = residue.texts_of(table(spark, data.replace("sf0.001", "sf0.01"), "books"), table(spark, data.replace("sf0.001", "sf0.01"), "questions"))
+    model = residue.fit([(r["text"], r["title"]) for r in residue.training_texts(texts)])
+    own = [(r["text"], r["title"]) for r in texts.dropDuplicates(["field", "record_id"]).collect()]
+    named = [t for t in own if rule.search(t[0])]
+    assert sum(model.score(*t) >= residue.LIKELY for t in named) >= 0.95 * len(named)
+    if family == "SLOTS":
+        others = [t for t in own if not residue.RULES.search(t[0])]
+        assert sum(model.score(*t) >= residue.LIKELY for t in others) <= 0.003 * len(others)
+
+
 def test_residue(spark, data):
     books, questions = table(spark, data, "books"), table(spark, data, "questions")
     more = spark.createDataFrame([(f"bad{i}", t) for i, t in enumerate(BAD)] + [(f"good{i}", t) for i, t in enumerate(GOOD)] + [("null", None), ("empty", ""), ("blank", "  "), ("long", "A fine day. " * 5000 + "Lorem ipsum dolor sit amet.")], "id string, question_text string")
