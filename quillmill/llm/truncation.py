@@ -1,9 +1,10 @@
 """Problem 2: texts that were cut off by a field limit or in transfer, and how often each source does it.
 
-Per source and column, histograms of text lengths in characters and in bytes show a limit as a spike of texts without a
-closing mark at (nearly) the greatest length. Texts at a spike without closing mark are flagged. What such texts have in
-common, that they stop where sentences of the corpus do not stop, is then the evidence for every unclosed text, whatever
-its length: counts over all finished sentences tell, for the words before a place, how often a sentence ends there and how
+Per source and column, histograms of text lengths in characters and in bytes show each limit as a spike of texts without a
+closing mark, at the greatest length or, if it changed, among smaller ones. Texts at a spike without closing mark are
+flagged unless the corpus shows a complete text. Texts cut in transfer have no common length, so a second stage follows for
+all unclosed texts: what those at a spike have in common, that they stop where sentences of the corpus do not stop, is the
+evidence whatever the length (``p2_sources`` counts both kinds apart): counts over all finished sentences tell, for the words before a place, how often a sentence ends there and how
 often it goes on; words that are no words elsewhere, unclosed brackets, tags and entities, and names that only begin a
 name of the same book, show a cut within a word or mark.
 
@@ -22,7 +23,8 @@ from quillmill.llm import residue
 from quillmill.tables import cut_lineage
 
 #: A spike: at least LEAST texts, and TIMES the mean number of unclosed texts of the other lengths; at most BEYOND of a source longer.
-LEAST, TIMES, BEYOND = 4, 8.0, 0.002
+#: A spike below the greatest length: INNER texts, and TIMES the mean of the NEIGHBOURS lengths on either side.
+LEAST, TIMES, BEYOND, INNER, NEIGHBOURS = 4, 8.0, 0.002, 12, 12
 #: A place ends sentences if at least this share of its occurrences does.
 CAN_END = 0.2
 #: Sentences of one beginning that end fewer texts than this share are followed by another one: at a limit, and elsewhere,
@@ -115,21 +117,26 @@ def place_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def limits(texts: DataFrame) -> DataFrame:
-    """(field, source, unit, most): lengths at which a source cuts; unit is chars or bytes. One row a field and source at most."""
+    """(field, source, spikes ARRAY<STRUCT<unit, most, n_at_limit>>): the lengths at which a source cuts; unit is chars or bytes."""
     own = texts.select("field", "source", "unclosed", F.length("raw").alias("chars"), F.octet_length("raw").alias("bytes"))
     long = own.select("field", "source", "unclosed", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "n"))
     hist = long.groupBy("field", "source", "unit", "n").agg(F.count("*").alias("texts"), F.count_if("unclosed").alias("open"))
     part = W.partitionBy("field", "source", "unit")
+    near = part.orderBy("n").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     ranked = (
         hist.withColumn("beyond", F.coalesce(F.sum("texts").over(part.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("total", F.sum("texts").over(part))
         .withColumn("mean", (F.sum("open").over(part) - F.col("open")) / F.greatest(F.count("*").over(part) - 1, F.lit(1)))
+        .withColumn("around", (F.sum("open").over(near) - F.col("open")) / (2 * NEIGHBOURS))
         .withColumn("greatest_open", F.max("open").over(part))
     )
-    spikes = ranked.filter((F.col("open") == F.col("greatest_open")) & (F.col("open") >= LEAST) & (F.col("open") >= TIMES * F.col("mean")) & (F.col("beyond") <= BEYOND * F.col("total") + 1))
-    # Of both units the one with the higher spike is the one the source cuts by.
-    best = spikes.withColumn("r", F.row_number().over(W.partitionBy("field", "source").orderBy(F.desc("open"), "unit"))).filter("r = 1")
-    return best.select("field", "source", "unit", F.col("n").alias("most"), F.col("open").alias("n_at_limit"))
+    last = (F.col("open") == F.col("greatest_open")) & (F.col("open") >= LEAST) & (F.col("open") >= TIMES * F.col("mean")) & (F.col("beyond") <= BEYOND * F.col("total") + 1)
+    inner = (F.col("open") >= INNER) & (F.col("open") >= TIMES * F.col("around")) & (F.col("open") * 2 > F.col("texts"))
+    spikes = ranked.filter(last | inner).select("field", "source", F.struct("unit", F.col("n").alias("most"), F.col("open").alias("n_at_limit")).alias("s"))
+    # Lengths of the two units that nearly agree are one limit: the one with the higher spike is what the source cuts by.
+    every = spikes.groupBy("field", "source").agg(F.sort_array(F.collect_list("s")).alias("all"))  # a few lengths a source
+    stronger = lambda x, y: (x["unit"] != y["unit"]) & (F.abs(x["most"] - y["most"]) <= 3) & ((y["n_at_limit"] > x["n_at_limit"]) | ((y["n_at_limit"] == x["n_at_limit"]) & (y["unit"] > x["unit"])))
+    return every.select("field", "source", F.filter("all", lambda x: ~F.exists("all", lambda y: stronger(x, y))).alias("spikes"))
 
 
 def classified(spark: SparkSession, books: DataFrame, questions: DataFrame) -> DataFrame:
@@ -140,7 +147,8 @@ def classified(spark: SparkSession, books: DataFrame, questions: DataFrame) -> D
     bad = residue.found(spark, books, questions)
     texts = cut_lineage(texts.join(bad, ["field", "record_id"], "left_anti").withColumn("unclosed", ~closed(F.col("text"))))
     marks = limits(texts)
-    near = F.when(F.col("unit") == "bytes", F.octet_length("raw").between(F.col("most") - 3, F.col("most"))).otherwise(F.length("raw") == F.col("most"))
+    reached = lambda x: F.when(x["unit"] == "bytes", F.octet_length("raw").between(x["most"] - 3, x["most"])).otherwise(F.length("raw") == x["most"])
+    near = F.exists("spikes", reached)
     open_ = texts.filter("unclosed").join(F.broadcast(marks), ["field", "source"], "left").withColumn("at_limit", F.coalesce(near, F.lit(False)))  # one row a source
     last = F.try_element_at(sentences(F.col("text")), F.lit(-1))
     open_ = open_.select("field", "record_id", "source", "book_id", "at_limit", broken_mark(F.col("text")).alias("broken"), last.alias("unit_text"), F.regexp_extract("text", rf"({_WORD})[^\p{{L}}\p{{N}}]*$", 1).alias("end_word"))

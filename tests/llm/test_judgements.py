@@ -147,3 +147,12 @@ def test_truncation(spark):
     report = {r["source"]: r for r in truncation.report(spark, books, questions).collect()}
     assert report["plain"]["n_cut"] == 3 and report["limited"]["n_at_limit"] == len(expected) - 3
     assert truncation.found(spark, books, questions.limit(0)).count() == 0
+
+
+def test_several_limits_of_a_source(spark):
+    """Two limits in characters and one in bytes; other lengths vary."""
+    rows = [(f"a{i}", "two", ("xy" * 60)[:50]) for i in range(20)] + [(f"b{i}", "two", ("xy" * 60)[:90]) for i in range(15)] + [(f"c{i}", "two", "z" * (20 + i % 60) + ".") for i in range(240)]
+    rows += [(f"d{i}", "bytes", ("é" * (i % 7) + "w" * 200).encode()[:64].decode(errors="ignore")) for i in range(30)] + [(f"e{i}", "bytes", "z" * (10 + i % 40) + ".") for i in range(160)] + [(f"f{i}", "none", "z" * (10 + i % 40)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id string, source string, raw string").select(F.lit("question_text").alias("field"), "source", "raw", (~truncation.closed(F.col("raw"))).alias("unclosed"))
+    got = {r["source"]: sorted((x["unit"], x["most"]) for x in r["spikes"]) for r in truncation.limits(df).collect()}
+    assert got == {"two": [("chars", 50), ("chars", 90)], "bytes": [("bytes", 64)]}
