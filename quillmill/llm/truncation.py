@@ -133,9 +133,9 @@ def limits(texts: DataFrame) -> DataFrame:
     last = (F.col("open") == F.col("greatest_open")) & (F.col("open") >= LEAST) & (F.col("open") >= TIMES * F.col("mean")) & (F.col("beyond") <= BEYOND * F.col("total") + 1)
     inner = (F.col("open") >= INNER) & (F.col("open") >= TIMES * F.col("around")) & (F.col("open") * 2 > F.col("texts"))
     spikes = ranked.filter(last | inner).select("field", "source", F.struct("unit", F.col("n").alias("most"), F.col("open").alias("n_at_limit")).alias("s"))
-    # Lengths of the two units that nearly agree are one limit: the one with the higher spike is what the source cuts by.
+    # Lengths of the two units within a twentieth are one limit: the one with the higher spike is what the source cuts by.
     every = spikes.groupBy("field", "source").agg(F.sort_array(F.collect_list("s")).alias("all"))  # a few lengths a source
-    stronger = lambda x, y: (x["unit"] != y["unit"]) & (F.abs(x["most"] - y["most"]) <= 3) & ((y["n_at_limit"] > x["n_at_limit"]) | ((y["n_at_limit"] == x["n_at_limit"]) & (y["unit"] > x["unit"])))
+    stronger = lambda x, y: (x["unit"] != y["unit"]) & (F.abs(x["most"] - y["most"]) <= F.greatest(F.lit(3), y["most"] / 20)) & ((y["n_at_limit"] > x["n_at_limit"]) | ((y["n_at_limit"] == x["n_at_limit"]) & (y["unit"] > x["unit"])))
     return every.select("field", "source", F.filter("all", lambda x: ~F.exists("all", lambda y: stronger(x, y))).alias("spikes"))
 
 
