@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmill.config import level_target
 from quillmill.functions import clean
 from quillmill.functions import text as T
 from quillmill.operators import annotate, dml, generated, library, match, segment, tasks
@@ -458,12 +459,41 @@ def _(s, d):
     return table(s, d, "chapters").filter("content IS NOT NULL").select("id", T.description(F.col("content"), r"\n\n+").alias("description"))
 
 
-@query("section_fold")
+_FIRST = r"regexp_split_to_array({0}[1:500], '[.!?]+[\s\x{A0}]+')[1]"
+_TELLING = _Sql(f"list_filter({WORDS.format('{0}')}, lambda w: length(w) > 4 AND lower(w) NOT IN ('there', 'their', 'which', 'where', 'these', 'those', 'would', 'could', 'should', 'about', 'after', 'before'))")
+_TITLE = _Sql(rf"CASE WHEN regexp_matches(line, '^(CHAPTER|Chapter|PART|Part)\s+') THEN line WHEN length(first) > 20 AND len({_TELLING.format('first')}) >= 2 THEN 'Section ' || {{0}} || ': ' || array_to_string({_TELLING.format('first')}[1:3], ' ') ELSE 'Section ' || {{0}} END")
+BREAKS = r"\n\s*\*\s*\*\s*\*\s*\n|\n\s*---+\s*\n|\n\s*•\s*•\s*•\s*\n|\n\s*～+\s*\n"
+_LEAST, _MOST = level_target("beginner")
+
+
+@query("section_fold", rf"""
+    WITH RECURSIVE docs AS (SELECT id, {PARAS.format('content')} AS p FROM chapters WHERE content IS NOT NULL),
+    feats AS (SELECT id, i, t, len({WORDS.format('t')}) AS wc, regexp_matches(t, '^["'']') AS starts, regexp_matches(t, '["''][.,!?]?$') AS ends, regexp_matches(t, '{BREAKS}') AS broken, regexp_matches(t, '{HEADING}') AS head
+      FROM (SELECT id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS t FROM docs)),
+    kinds AS (SELECT *, CASE WHEN starts THEN 'dialogue' WHEN broken THEN 'scene_break' WHEN head THEN 'heading' ELSE 'narrative' END AS kind FROM feats),
+    fold(id, i, n, words, talk, sec, used) AS (
+      SELECT id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST(1 AS BIGINT), false FROM docs
+      UNION ALL
+      SELECT id, i, CASE WHEN skip THEN n WHEN split THEN 1 ELSE n + 1 END, CASE WHEN skip THEN words WHEN split THEN wc ELSE words + wc END,
+        CASE WHEN skip THEN talk WHEN starts THEN true WHEN ends THEN false ELSE talk END, CASE WHEN NOT skip AND split THEN sec + 1 ELSE sec END, NOT skip
+      FROM (SELECT k.id, k.i, f.n, f.words, f.talk, f.sec, k.wc, k.starts, k.ends, (k.wc < 5 AND k.kind = 'heading' AND f.n = 0) AS skip,
+          (f.words >= {_LEAST} AND NOT (f.talk AND NOT k.ends) AND f.n > 0 AND (k.broken OR k.kind = 'heading' OR (f.words >= {_MOST} AND ((k.kind = 'narrative' AND NOT f.talk) OR k.ends)))) AS split
+        FROM fold f JOIN kinds k ON k.id = f.id AND k.i = f.i + 1)),
+    secs AS (SELECT f.id, f.sec, string_agg(k.t, chr(10) || chr(10) ORDER BY k.i) AS content, sum(k.wc) AS word_count, count(*) AS paragraph_count FROM fold f JOIN kinds k ON k.id = f.id AND k.i = f.i WHERE f.used GROUP BY f.id, f.sec HAVING sum(k.wc) >= 200),
+    named AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sec) AS number, {STRIP.format("string_split(content, chr(10))[1]")} AS line, {_FIRST.replace('{0}', 'content')} AS first FROM secs)
+    SELECT id, number, content, word_count, paragraph_count, {_TITLE.format('number')} AS title FROM named""")
 def _(s, d):
     return segment.sections(table(s, d, "chapters").filter("content IS NOT NULL"), "id", "content", "beginner")
 
 
-@query("greedy_pages")
+@query("greedy_pages", f"""
+    WITH RECURSIVE docs AS (SELECT id, content, {PARAS.format('content')} AS p FROM chapters WHERE content IS NOT NULL),
+    sized AS (SELECT id, p, list_transform(p, lambda t: len({WORDS.format('t')})) AS n FROM docs WHERE len(p) > 0),
+    fold(id, i, words, page) AS (
+      SELECT id, CAST(1 AS BIGINT), n[1], CAST(1 AS BIGINT) FROM sized
+      UNION ALL SELECT f.id, f.i + 1, CASE WHEN f.words + s.n[f.i + 1] > 500 THEN s.n[f.i + 1] ELSE f.words + s.n[f.i + 1] END, CASE WHEN f.words + s.n[f.i + 1] > 500 THEN f.page + 1 ELSE f.page END FROM fold f JOIN sized s ON s.id = f.id WHERE f.i < len(s.n))
+    SELECT f.id, f.page, string_agg(s.p[f.i], chr(10) || chr(10) ORDER BY f.i) AS text FROM fold f JOIN sized s ON s.id = f.id GROUP BY f.id, f.page
+    UNION ALL SELECT id, 1, content FROM docs WHERE len(p) = 0""")
 def _(s, d):
     rows = table(s, d, "chapters").filter("content IS NOT NULL").select("id", F.posexplode(segment.greedy_pages(F.col("content"))).alias("i", "text"))
     return rows.select("id", (F.col("i") + 1).alias("page"), "text")
@@ -495,10 +525,43 @@ def _(s, d):
     return lines
 
 
-@query("clean_stats", None)
+def _without(text: str, markers: list[str], pattern: str, rest: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches({text}, '(?is){m}') THEN regexp_replace(regexp_replace({text}, '{pattern.replace('MARK', m)}', ''), '{rest}', '')" for m in markers)
+    return f"CASE {cases} ELSE {text} END"
+
+
+def _clean_sql(source: str) -> str:
+    """SQL of the cleaned text: header, footer, licence lines, white space, in this order."""
+    squeezed = "string_split(regexp_replace(regexp_replace(kept, ' +', ' ', 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), chr(10))"
+    return f"""
+    WITH src AS ({source}),
+    head AS (SELECT doc_id, text, {_without('text', clean.START_MARKERS, '(?is)^.*?MARK', '^' + chr(92) + 'n+')} AS t FROM src),
+    foot AS (SELECT doc_id, text, {_without('t', clean.END_MARKERS, '(?is)MARK.*$', chr(92) + 'n+$')} AS t FROM head),
+    lines AS (SELECT doc_id, i, line, coalesce(sum(CASE WHEN {STRIP.format('line')} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block
+      FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM foot))),
+    marked AS (SELECT *, max(CASE WHEN regexp_matches(line, '{_LICENSE}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY i) AS bad FROM lines),
+    kept AS (SELECT f.doc_id, any_value(f.text) AS text, coalesce(string_agg(m.line, chr(10) ORDER BY m.i) FILTER (m.bad = 0), '') AS kept FROM foot f JOIN marked m ON m.doc_id = f.doc_id GROUP BY f.doc_id),
+    done AS (SELECT doc_id, text, {STRIP.format("array_to_string(list_transform(" + squeezed + ", lambda l: " + STRIP.format('l') + "), chr(10))")} AS t FROM kept)
+    SELECT doc_id, len({WORDS.format('text')}) AS original_words, len({WORDS.format('t')}) AS cleaned_words, len({WORDS.format('text')}) - len({WORDS.format('t')}) AS removed_words, len({WORDS.format('t')}) < len({WORDS.format('text')}) * 0.1 AS excessive, md5(t) AS digest FROM done"""
+
+
+def _cleaned(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", clean.cleaning_stats(F.col("text")).alias("c")).select("doc_id", "c.original_words", "c.cleaned_words", "c.removed_words", "c.excessive", F.md5("c.text").alias("digest"))
+
+
+@query("clean_stats", _clean_sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL"))
 def _(s, d):
-    rows = table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", clean.cleaning_stats(F.col("text")).alias("c"))
-    return rows.select("doc_id", "c.original_words", "c.cleaned_words", "c.removed_words", "c.excessive")
+    return _cleaned(table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", "text"))
+
+
+#: What stands around a text of a public-domain library.
+_BEFORE, _AFTER = "The title\n\n*** START OF THE PROJECT GUTENBERG EBOOK A TITLE ***\n\n", "\n\nwww.gutenberg.org and more\nof it\n\n*** END OF THIS PROJECT GUTENBERG EBOOK A TITLE ***\n\nThe licence"
+
+
+@query("clean_marked", _clean_sql(f"SELECT doc_id, {_BEFORE!r} || text || {_AFTER!r} AS text FROM documents WHERE text IS NOT NULL".replace("'" + _BEFORE.replace(chr(10), chr(92) + "n") + "'", "'" + _BEFORE + "'").replace("'" + _AFTER.replace(chr(10), chr(92) + "n") + "'", "'" + _AFTER + "'")))
+def _(s, d):
+    """Every text with a header, a licence line and a footer around it."""
+    return _cleaned(table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.concat(F.lit(_BEFORE), "text", F.lit(_AFTER)).alias("text")))
 
 
 @query("whitespace_normalized", f"""
@@ -532,11 +595,21 @@ def _(s, d):
     return match.passages(excerpts, paragraphs, "k")
 
 
-@query("highlight_map")
-def _(s, d):
-    excerpts, paragraphs = _excerpts(s, d)
-    found = match.passages(excerpts, paragraphs, "k").select(F.col("id").alias("key"), "id", "idx").withColumn("place", F.lit(0))
-    return match.last_writer(found, "place")
+@query("highlight_map", f"""
+    WITH c AS (SELECT id, {PARAS.format('content')} AS p FROM chapters WHERE content IS NOT NULL),
+    paras AS (SELECT id, i - 1 AS idx, {_PLAIN.format('t')} AS t FROM (SELECT id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS t FROM c)),
+    asked AS (SELECT id, idx AS place, array_to_string(w[1:50], ' ')[1:100] AS pattern, len(w) AS n FROM (SELECT id, idx, t, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') AS w FROM paras WHERE idx IN (1, 2, 3)) WHERE length(t) >= 10),
+    hit AS (SELECT a.id, a.place, a.n, min(b.idx) AS at FROM asked a JOIN paras b ON a.id = b.id WHERE contains(b.t, a.pattern) GROUP BY a.id, a.place, a.n),
+    ends AS (SELECT id, max(idx) AS last FROM paras GROUP BY id),
+    claims AS (SELECT h.id, h.place, unnest(range(h.at, least(h.at + greatest(CAST(ceil(h.n / 20.0) AS BIGINT), 1) - 1, e.last) + 1)) AS idx FROM hit h JOIN ends e ON h.id = e.id)
+    SELECT id AS key, idx, max(place) AS place FROM claims GROUP BY id, idx""")
+def _(s, d):
+    """Three excerpts a chapter claim paragraphs, a paragraph for each twenty words; the last one owns what several claim."""
+    chapters = table(s, d, "chapters").filter("content IS NOT NULL").select("id", T.paragraphs(F.col("content")).alias("p"))
+    paragraphs = chapters.select("id", F.posexplode("p").alias("idx", "text"))
+    asked = chapters.select(F.col("id").alias("k"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.get("p", F.lit(i)).alias("text")) for i in (1, 2, 3)])).alias("e")).select("k", F.col("e.i").alias("place"), F.concat_ws("#", "k", "e.i").alias("id"), F.col("e.text").alias("text")).filter("text IS NOT NULL")
+    found = match.passages(asked, paragraphs.withColumnRenamed("id", "k"), "k", words_each=20).withColumns({"key": F.substring_index("id", "#", 1), "place": F.substring_index("id", "#", -1).cast("int")})
+    return match.last_writer(found, "place").select("key", "idx", F.substring_index("id", "#", -1).cast("int").alias("place"))
 
 
 @query("lev_similarity", "SELECT a.id AS id_a, b.id AS id_b, levenshtein(regexp_replace(a.title, '[^ -~]', '?', 'g'), regexp_replace(b.title, '[^ -~]', '?', 'g')) AS edits FROM books a JOIN books b ON a.author = b.author AND a.id < b.id WHERE a.title IS NOT NULL AND b.title IS NOT NULL")
@@ -569,7 +642,10 @@ def _(s, d):
     return table(s, d, "chapters").filter("content LIKE '%<%'").select("id", T.plain_text(F.col("content")).alias("text"))
 
 
-@query("chapter_html")
+@query("chapter_html", f"""
+    SELECT c.id, '<div class="chapter-content" style="font-size: ' || CASE lower(trim(b.reading_level)) WHEN 'beginner' THEN '18px' WHEN 'advanced' THEN '15px' ELSE '16px' END || '; line-height: 1.8;">' ||
+      array_to_string(list_transform(list_filter(string_split(c.content, chr(10) || chr(10)), lambda p: {STRIP.format('p')} <> ''), lambda p: '<p style="margin-bottom: 1.5em; text-indent: 2em;">' || p || '</p>'), '') || '</div>' AS html
+    FROM chapters c LEFT JOIN books b ON b.id = c.book_id WHERE c.content IS NOT NULL""")
 def _(s, d):
     books = table(s, d, "books").select(F.col("id").alias("book_id"), F.lower(F.trim("reading_level")).alias("level"))
     return table(s, d, "chapters").filter("content IS NOT NULL").select("id", "book_id", "content").join(books, "book_id", "left").select("id", T.chapter_html(F.col("content"), F.col("level")).alias("html"))
@@ -711,13 +787,9 @@ def _(s, d):
     return rows.groupBy("id").agg(F.md5(F.array_join(ordered, "\n\n")).alias("digest"))
 
 
-_FIRST = r"regexp_split_to_array(content[1:500], '[.!?]+[\s\x{A0}]+')[1]"
-_TELLING = _Sql(f"list_filter({WORDS.format('{0}')}, lambda w: length(w) > 4 AND lower(w) NOT IN ('there', 'their', 'which', 'where', 'these', 'those', 'would', 'could', 'should', 'about', 'after', 'before'))")
-
-
 @query("section_titles", rf"""
-    SELECT id, CASE WHEN regexp_matches(line, '^(CHAPTER|Chapter|PART|Part)\s+') THEN line WHEN length(first) > 20 AND len({_TELLING.format('first')}) >= 2 THEN 'Section ' || chapter_number || ': ' || array_to_string({_TELLING.format('first')}[1:3], ' ') ELSE 'Section ' || chapter_number END AS title
-    FROM (SELECT id, chapter_number, {STRIP.format("string_split(content, chr(10))[1]")} AS line, {_FIRST} AS first FROM chapters WHERE content IS NOT NULL)""")
+    SELECT id, {_TITLE.format('chapter_number')} AS title
+    FROM (SELECT id, chapter_number, {STRIP.format("string_split(content, chr(10))[1]")} AS line, {_FIRST.replace('{0}', 'content')} AS first FROM chapters WHERE content IS NOT NULL)""")
 def _(s, d):
     return table(s, d, "chapters").filter("content IS NOT NULL").select("id", T.section_title(F.col("content"), F.col("chapter_number")).alias("title"))
 
