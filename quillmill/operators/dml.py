@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
+from quillmill.operators import library
 
 
 def insert_new(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -54,10 +55,16 @@ def delete_cascade(doomed: DataFrame, tables: list[tuple[DataFrame, str, str]])
 
 
 def append_ordered(existing: DataFrame, incoming: DataFrame, group: str, order: list[str], name: str = "order_index") -> DataFrame:
-    """Incoming rows with numbers that continue each group's greatest."""
-    greatest = existing.groupBy(group).agg(F.max(name).alias("_m"))
-    rows = incoming.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order))).join(greatest, group, "left")
-    return rows.withColumn(name, F.coalesce("_m", F.lit(0)) + F.col("_r")).drop("_m", "_r")
+    """Incoming rows with numbers that continue each group's greatest; rows without a group are numbered too, as one group."""
+    greatest = existing.groupBy(F.col(group).alias("_g")).agg(F.max(name).alias("_m"))
+    rows = library.numbered(incoming.drop(name), group, order, "_r")
+    rows = rows.join(greatest, rows[group].eqNullSafe(F.col("_g")), "left")
+    return rows.withColumn(name, F.coalesce("_m", F.lit(0)) + F.col("_r")).drop("_m", "_r", "_g")
+
+
+def with_item_grade(items: DataFrame, task_grade: Column, column: str = "grade_level") -> DataFrame:
+    """Items without a grade of their own get that of their task."""
+    return items.withColumn(column, F.coalesce(F.when(F.trim(column) != "", F.col(column)), task_grade))
 
 
 def replace_groups(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,20 +11,20 @@ from pyspark.sql.types import DoubleType
 from quillmill.functions import text as T
 
 
-def passages(excerpts: DataFrame, paragraphs: DataFrame, key: str, n_words: int = 50, n_chars: int = 100, least: int = 10, words_each: int = 100) -> DataFrame:
+def passages(excerpts: DataFrame, documents: DataFrame, key: str, n_words: int = 50, n_chars: int = 100, least: int = 10, words_each: int = 100) -> DataFrame:
     """Where each excerpt begins among the paragraphs of the same key, and the paragraphs it goes on over.
 
-    excerpts (key, id, text), paragraphs (key, idx, text) -> (id, idx). The join is on the key, with containment as its
-    residual condition; the first paragraph that contains the beginning counts.
+    excerpts (key, id, text), documents (key, p ARRAY of paragraphs) -> (id, idx). One join on the key; paragraphs stay in
+    their row, and the first one that contains the beginning counts.
     """
     plain = T.for_matching(F.col("text"))
     words = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
     asked = excerpts.select(F.col(key).alias("k"), "id", F.substring(F.array_join(F.slice(words, 1, n_words), " "), 1, n_chars).alias("pattern"), F.size(words).alias("n"), F.length(plain).alias("len")).filter(F.col("len") >= least)
-    own = paragraphs.select(F.col(key).alias("k"), "idx", plain.alias("p"))
-    ends = own.groupBy("k").agg(F.max("idx").alias("last"))
-    first = asked.join(own, "k").filter(F.contains("p", "pattern")).groupBy("k", "id", "n").agg(F.min("idx").alias("at"))
-    reach = F.least(F.col("at") + F.greatest(F.ceil(F.col("n") / words_each), F.lit(1)) - 1, F.col("last"))
-    return first.join(ends, "k").select("id", F.explode(F.sequence(F.col("at"), reach.cast("int"))).alias("idx"))
+    joined = asked.join(documents.select(F.col(key).alias("k"), "p"), "k")
+    at = F.array_position(F.transform("p", lambda x: F.contains(T.for_matching(x), F.col("pattern"))), True) - 1
+    first = joined.select("id", "n", at.cast("int").alias("at"), F.size("p").alias("of")).filter("at >= 0")
+    reach = F.least(F.col("at") + F.greatest(F.ceil(F.col("n") / words_each), F.lit(1)) - 1, F.col("of") - 1)
+    return first.select("id", F.explode(F.sequence(F.col("at"), reach.cast("int"))).alias("idx"))
 
 
 def last_writer(matches: DataFrame, order: str) -> DataFrame:
@@ -42,30 +42,36 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         s, t = (" ".join(sorted(v.lower().split())) for v in (x, y))
         if not s and not t:
             return 100.0
-        row = [0] * (len(t) + 1)
-        for c in s:
-            before = 0
-            for j, d in enumerate(t, 1):
-                row[j], before = (before + 1 if c == d else max(row[j], row[j - 1])), row[j]
-        return 200.0 * row[-1] / (len(s) + len(t))
+        # One bit a place of s: a row of the table of common subsequences is one addition of long integers.
+        places: dict[str, int] = {}
+        for i, c in enumerate(s):
+            places[c] = places.get(c, 0) | 1 << i
+        full = row = (1 << len(s)) - 1
+        for c in t:
+            hit = row & places.get(c, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return 200.0 * (len(s) - row.bit_count()) / (len(s) + len(t))
 
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
+def edit_likeness(a: Column, b: Column) -> Column:
+    return 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """0.6 of the normalised edit similarity and 0.4 of the token sort ratio, in percent."""
-    edit = 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
-    return 0.6 * edit + 0.4 * token_sort_ratio(a, b)
+    return 0.6 * edit_likeness(a, b) + 0.4 * token_sort_ratio(a, b)
 
 
 def claimed(left: DataFrame, right: DataFrame, key: str, threshold: float = 78.0) -> DataFrame:
     """left (key, id, pos, text) x right (key, idx, text) of one key: the first by position that is alike claims a row.
 
-    Pairs whose lengths already rule the threshold out are dropped before the costly part.
+    Pairs whose lengths, and then whose edits, already rule the threshold out are dropped before Python sees them.
     """
     a, b = left.alias("a"), right.alias("b")
     bound = F.least(F.length("a.text"), F.length("b.text")) * 100.0 / F.greatest(F.length("a.text"), F.length("b.text"), F.lit(1))
-    near = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).filter(0.6 * bound + 40 >= threshold)
+    near = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).filter(0.6 * bound + 40 >= threshold).filter(0.6 * edit_likeness(F.col("a.text"), F.col("b.text")) + 40 >= threshold)
     hits = near.filter(likeness(F.col("a.text"), F.col("b.text")) >= threshold)
     w = W.partitionBy(f"b.{key}", "b.idx").orderBy("a.pos", "a.id")
     return hits.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(F.col(f"b.{key}").alias(key), "idx", "id")

@@ -573,11 +573,8 @@ def _(s, d):
 # Matching ----------------------------------------------------------------------------------------------------------
 
 
-def _excerpts(s, d):
-    chapters = table(s, d, "chapters").filter("content IS NOT NULL").select("id", "book_id", T.paragraphs(F.col("content")).alias("p"))
-    paragraphs = chapters.select("id", F.posexplode("p").alias("idx", "text"))
-    excerpts = chapters.filter("size(p) > 2").select("id", F.col("id").alias("k"), F.get("p", F.lit(2)).alias("text"))
-    return excerpts, paragraphs.withColumnRenamed("id", "k")
+def _documents(s, d):
+    return table(s, d, "chapters").filter("content IS NOT NULL").select(F.col("id").alias("k"), T.paragraphs(F.col("content")).alias("p"))
 
 
 _PLAIN = _Sql(rf"trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace({{0}}, 'data:image/[^;]+;base64,[A-Za-z0-9+/=]+', '', 'g'), '<[^>]+>', ' ', 'g')), '{WS}+', ' ', 'g'), '[^a-zA-Z0-9_ ]', '', 'g'))")
@@ -591,8 +588,8 @@ _PLAIN = _Sql(rf"trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_
     ends AS (SELECT id, max(idx) AS last FROM paras GROUP BY id)
     SELECT h.id, unnest(range(h.at, least(h.at + greatest(CAST(ceil(h.n / 100.0) AS BIGINT), 1) - 1, e.last) + 1)) AS idx FROM hit h JOIN ends e ON h.id = e.id""")
 def _(s, d):
-    excerpts, paragraphs = _excerpts(s, d)
-    return match.passages(excerpts, paragraphs, "k")
+    documents = _documents(s, d)
+    return match.passages(documents.filter("size(p) > 2").select("k", F.col("k").alias("id"), F.get("p", F.lit(2)).alias("text")), documents, "k")
 
 
 @query("highlight_map", f"""
@@ -605,10 +602,9 @@ def _(s, d):
     SELECT id AS key, idx, max(place) AS place FROM claims GROUP BY id, idx""")
 def _(s, d):
     """Three excerpts a chapter claim paragraphs, a paragraph for each twenty words; the last one owns what several claim."""
-    chapters = table(s, d, "chapters").filter("content IS NOT NULL").select("id", T.paragraphs(F.col("content")).alias("p"))
-    paragraphs = chapters.select("id", F.posexplode("p").alias("idx", "text"))
-    asked = chapters.select(F.col("id").alias("k"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.get("p", F.lit(i)).alias("text")) for i in (1, 2, 3)])).alias("e")).select("k", F.col("e.i").alias("place"), F.concat_ws("#", "k", "e.i").alias("id"), F.col("e.text").alias("text")).filter("text IS NOT NULL")
-    found = match.passages(asked, paragraphs.withColumnRenamed("id", "k"), "k", words_each=20).withColumns({"key": F.substring_index("id", "#", 1), "place": F.substring_index("id", "#", -1).cast("int")})
+    documents = _documents(s, d)
+    asked = documents.select("k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.get("p", F.lit(i)).alias("text")) for i in (1, 2, 3)])).alias("e")).select("k", F.concat_ws("#", "k", "e.i").alias("id"), F.col("e.text").alias("text")).filter("text IS NOT NULL")
+    found = match.passages(asked, documents, "k", words_each=20).withColumns({"key": F.substring_index("id", "#", 1), "place": F.substring_index("id", "#", -1).cast("int")})
     return match.last_writer(found, "place").select("key", "idx", F.substring_index("id", "#", -1).cast("int").alias("place"))
 
 
@@ -832,7 +828,7 @@ def _(s, d):
 
 @query("stream_task_states", f"SELECT status, count(*) AS n FROM {TASKS} GROUP BY status")
 def _(s, d):
-    """The task file read as a stream, repeats removed by state, run to its end, then counted."""
+    """The task file read as a stream, the latest state of each task kept by the engine, run to its end, then counted."""
     import os
     import uuid
 
@@ -849,4 +845,6 @@ def _(s, d):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     stream.apply_batches(changes, keep, f"{base}/state").awaitTermination()
-    return s.read.parquet(f"{base}/out").drop("batch").groupBy("status").agg(F.count("*").alias("n"))
+    # A task may have changed in several batches; the engine's state saw all of them, so the last batch has its state.
+    last = s.read.parquet(f"{base}/out").groupBy("id").agg(F.max_by("status", "batch").alias("status"))
+    return last.groupBy("status").agg(F.count("*").alias("n"))

@@ -55,9 +55,26 @@ def watched(changes: DataFrame, late: str = "1 minute") -> DataFrame:
 
 
 def apply_batches(changes: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Single-writer micro-batches: each is deduplicated to the latest state of a task and handed over with its number."""
+    """Single-writer micro-batches: each hands over, with its number, the tasks that changed and their latest state.
 
-    def one(batch: DataFrame, number: int) -> None:
-        handle(latest_states(batch), number)
+    The state is the engine's, over all batches so far: a late or repeated row of an earlier batch changes nothing.
+    """
+    return latest_states(changes).writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def dispatched(changes: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
+    """changes (id, task_type, ...): every micro-batch is dealt to the handlers by type; unknown types go to ``error``, if given."""
+
+    def deal(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for kind, handle in handlers.items():
+                if kind != "error":
+                    handle(batch.filter(F.col("task_type") == kind), number)
+            if "error" in handlers:
+                known = F.coalesce(F.col("task_type").isin(*handlers), F.lit(False))
+                handlers["error"](batch.filter(~known).withColumn("error_message", F.concat(F.lit("Unknown task type: "), F.coalesce("task_type", F.lit("null")))), number)
+        finally:
+            batch.unpersist()
+
+    return changes.writeStream.foreachBatch(deal).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

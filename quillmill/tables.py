@@ -14,11 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; a local folder only where none is set (tests)."""
+    """Use the shared folder the cluster names in spark.checkpoint.dir; a local folder only in local mode, where none is set.
+
+    Checkpoints are removed once nothing refers to them any more.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quillmill-checkpoints"))
 
 

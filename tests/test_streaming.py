@@ -44,3 +44,30 @@ def test_batches(spark, tmp_path):
     q = stream.apply_batches(source(spark, tmp_path), lambda df, n: seen.append((n, df.agg(F.count("*")).first()[0])), str(tmp_path / "cp"))
     q.awaitTermination()
     assert seen == [(0, 2)]
+
+
+def test_state_over_several_batches(spark, tmp_path):
+    """One file a micro-batch: the newest change wins, also if a later batch repeats an older one."""
+    hour = dt.timedelta(hours=1)
+    for rows in ([("a", "queued", T0), ("b", "queued", T0)], [("a", "ready", T0 + 2 * hour)], [("a", "processing", T0 + hour), ("b", "error", T0 + hour), ("a", "queued", T0)]):
+        changes = source(spark, tmp_path, rows, "several")
+    seen = {}
+
+    def keep(batch, number):
+        seen[number] = {r["id"]: r["status"] for r in batch.collect()}
+
+    stream.apply_batches(changes, keep, str(tmp_path / "cp")).awaitTermination()
+    final = {}
+    for number in sorted(seen):
+        final |= seen[number]
+    assert len(seen) == 3 and final == {"a": "ready", "b": "error"}
+
+
+def test_dispatch(spark, tmp_path):
+    rows = [("1", "tags"), ("2", "questions"), ("3", "other"), ("4", None)]
+    spark.createDataFrame(rows, "id string, task_type string").coalesce(1).write.parquet(str(tmp_path / "typed"))
+    changes = spark.readStream.schema("id string, task_type string").parquet(str(tmp_path / "typed"))
+    got = {}
+    keep = lambda name: lambda batch, n: got.setdefault(name, []).extend(tuple(r) for r in batch.drop("task_type").orderBy("id").collect())
+    stream.dispatched(changes, {k: keep(k) for k in ("tags", "questions", "error")}, str(tmp_path / "cp2")).awaitTermination()
+    assert got == {"tags": [("1",)], "questions": [("2",)], "error": [("3", "Unknown task type: other"), ("4", "Unknown task type: null")]}

@@ -93,9 +93,18 @@ def test_empty_tables(spark, queue):
 
 
 def test_passages(spark):
-    paragraphs = spark.createDataFrame([("b", i, f"paragraph number {i} tells about thing {i}") for i in range(6)], "k string, idx int, text string")
-    excerpts = spark.createDataFrame([("b", "x", "Paragraph number 2, tells"), ("b", "y", "tiny"), ("b", "z", "not to be found anywhere")], "k string, id string, text string")
-    assert [(r["id"], r["idx"]) for r in match.passages(excerpts, paragraphs, "k").collect()] == [("x", 2)]
+    documents = spark.createDataFrame([("b", [f"paragraph number {i} tells about thing {i}" for i in range(6)]), ("empty", [])], "k string, p array<string>")
+    excerpts = spark.createDataFrame([("b", "x", "Paragraph number 2, tells"), ("b", "y", "tiny"), ("b", "z", "not to be found anywhere"), ("empty", "e", "paragraph number 2 tells"), ("b", "n", None)], "k string, id string, text string")
+    assert [(r["id"], r["idx"]) for r in match.passages(excerpts, documents, "k").collect()] == [("x", 2)]
+    long = spark.createDataFrame([("b", "long", "paragraph number 3 tells about thing 3 " + "and more " * 100)], "k string, id string, text string")
+    whole = documents.withColumn("p", F.transform("p", lambda p: F.concat(p, F.lit(" " + "and more " * 20))))
+    assert [(r["id"], r["idx"]) for r in match.passages(long, whole, "k").collect()] == [("long", 3), ("long", 4), ("long", 5)]
+
+
+def test_token_sort_ratio(spark):
+    df = spark.createDataFrame([("the quick brown fox", "quick the brown fox"), ("", ""), ("abc", "xyz"), ("ab cd", "cd abx"), (None, "a")], "a string, b string")
+    got = [r[0] for r in df.select(match.token_sort_ratio("a", "b")).collect()]
+    assert got[:3] == [100.0, 100.0, 0.0] and abs(got[3] - 200 * 5 / 11) < 1e-9 and got[4] is None
 
 
 def test_likeness_claims(spark):
@@ -130,3 +139,12 @@ def test_numbers_of_hot_groups(spark):
             want[g, r[1]] = n
     assert {(r["g"], r["id"]): r["number"] for r in got} == want and len(got) == len(rows)
     assert library.numbered(spark.createDataFrame([], "g string, k int, id string"), "g", ["k", "id"]).count() == 0
+
+
+def test_append_without_group(spark):
+    """Rows without a group are numbered as one group of their own."""
+    old = spark.createDataFrame([("a", "g", 3)], "id string, g string, order_index int")
+    new = spark.createDataFrame([("b", "g"), ("c", None), ("d", None)], "id string, g string")
+    assert {r["id"]: r["order_index"] for r in dml.append_ordered(old, new, "g", ["id"]).collect()} == {"b": 4, "c": 1, "d": 2}
+    graded = spark.createDataFrame([("a", None), ("b", " "), ("c", "grade-2")], "id string, grade_level string")
+    assert [r["grade_level"] for r in dml.with_item_grade(graded, F.lit("grade-1")).orderBy("id").collect()] == ["grade-1", "grade-1", "grade-2"]
