@@ -9,19 +9,22 @@ are summed over the blocks, and pairs below bounds that follow from the document
   lowest ones. Pairs whose sketches share at least a ``SHARE``-th go to the exact Jaccard coefficient of all three-word
   sequences, over the whole texts.
 * Titles: four-letter sequences of the normalised title (three-letter ones too, if it is short, and what remains of a very
-  short one without any two letters) are columns; pairs are then compared letter by letter.
+  short one without any two letters) are columns; pairs with two in common are then compared letter by letter.
 
-A column of more than ``wide`` documents is multiplied with its ``hubs`` documents of lowest priority in each class of size,
-the same priority in all columns, so that overlaps with the hubs of a family add up over its columns. Documents of which
-more than a quarter of the columns are wide (others cannot be alike in wide columns alone) take part. They also get further
-columns, each of three wide ones near each other in hash order, which are multiplied like narrow columns. Columns that hold
-more than their share of all entries are found by a top-k summary and never brought into one task.
+All documents have their columns in one order, the most popular ones last as a top-k summary knows them. A pair that shares
+enough columns shares one before the last few, so those are not multiplied. Each row brings the columns behind it as short
+numbers: within a column, only documents that share one of these too are paired, and the pair is counted on the spot.
+
+A column of more than ``wide`` documents is first multiplied with its ``hubs`` documents of lowest priority in each class of
+size, the same priority in all columns. When the groups of the pairs found so far are known, it is multiplied in full, but for
+pairs within one group, which would not change the groups. So ``wide`` and ``hubs`` decide on time, not on results; what
+stays quadratic is a column whose documents share enough others too without belonging together (one notice in many texts).
+Columns of more than SKEWED documents are spread over tasks, by every two of their parts for the full product.
 
 Only the groups are asked for: each document's best candidate is checked first, then all candidates between different
-components. Exact copies are one row of the matrix and return as members. ``wide=None`` multiplies every column in full.
+components. Exact copies are one row of the matrix and return as members. ``wide=None`` multiplies every column in full at once.
 
-What this can miss: a pair at the very threshold whose sketches by chance share too little, and, within a wide column, a
-document that is alike to few others of it, to none of its hubs, and shares no narrow column or triple with those few.
+What this can miss: a pair near the threshold whose sketches by chance share less than a ``SHARE``-th.
 
 Defined cases: null, empty and short texts (under 40 words) and null or blank titles belong to no group; a row delivered
 twice counts once (by id); the words are runs of letters and digits of the lower-cased text; extra columns are dropped.
@@ -46,11 +49,9 @@ from quillmill.tables import cut_lineage
 
 THRESHOLD, LEAST_WORDS, SHINGLE = 0.5, 40, 3
 COLUMN_WORDS, SKETCH, SHARE, WIDE, HUBS = 6, 32, 7, 64, 12
-#: Common columns that texts need before their sketches are compared, and common wide ones of a text or title and a hub.
-NEEDED, WITH_HUB, TITLE_WITH_HUB = 3, 4, 3
 TITLE_EDITS, TITLE_GRAM, SHORT_TITLE, VERY_SHORT_TITLE, TITLE_RATIO, TITLE_WIDE, TITLE_HUBS = 4, 4, 24, 12, 0.6, 16, 2
-#: Items that the summary of popular columns keeps; columns above SKEWED times its share of the entries are never in one task.
-TRACKED, SKEWED, LEAST_SKEWED = 1 << 15, 16, 2048
+#: Items that the summary of popular columns keeps, least rows of those used, and rows from which a column is spread over tasks.
+TRACKED, LISTED, SKEWED = 1 << 15, 8, 1 << 14
 FILTER_SLOTS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -128,127 +129,252 @@ def sketches(df: DataFrame, id_col: str, text_col: str, sketch: int = SKETCH) ->
     return real.mapInArrow(run, "id string, copy_key binary, size int, columns array<bigint>")
 
 
-def _multiply(wide: int | None, ratio: float):
-    """Multiplies the columns of one block; rows (column, doc, size) come sorted by column.
+def popular(entries: DataFrame) -> dict[int, int]:
+    """Estimated numbers of rows of the most popular columns, TRACKED columns at most (so bounded on the driver)."""
+    part = entries.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(column, {TRACKED})").alias("state"))
+    # By a constant, as no entries must give no summary.
+    top = part.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(state, {TRACKED})").alias("state"))
+    items = top.select(F.explode(F.expr(f"approx_top_k_estimate(state, {TRACKED})")).alias("i")).select("i.item", "i.count").filter(F.col("count") >= LISTED)
+    return {r[0]: r[1] for r in items.collect()}
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every range, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
+    x = x.view(np.uint64) * _MIX[k]
+    return (x ^ (x >> np.uint64(32))) * _MIX[(k + 1) % 3]
+
+
+def _entries(known: dict[int, int], whole_tail: bool, blocks: bool, skew: float):
+    """Rows (doc, size, need, columns) -> (column, row, doc): the columns of a document that a pair of it can have as its first common one.
+
+    The columns of all documents are in one order, those of ``known`` last, by number of rows. Who shares ``need`` columns
+    has the first common one among all but the last need - 1 of them. The row holds the columns behind it as 16-bit numbers
+    (only those among which the second common one must be, unless ``whole_tail``). A column of more than ``skew`` rows is
+    spread: with the same hubs in each part, or, for ``blocks``, over blocks of every two parts, and nothing else comes out.
+    """
+    items = np.array(sorted(known), np.int64)
+    counts = np.array([known[i] for i in items.tolist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            doc, size, need = (np.asarray(batch.column(i), t) for i, t in enumerate((np.int64, np.int32, np.int64)))
+            lists = batch.column(3)
+            flat, ends = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths(), np.int64).cumsum()
+            if not len(flat):
+                continue
+            k = np.diff(ends, prepend=0)
+            owner = np.repeat(np.arange(len(k)), k)
+            at = np.minimum(np.searchsorted(items, flat), len(items) - 1) if len(items) else np.zeros(len(flat), np.int64)
+            count = np.where(items[at] == flat, counts[at], 0) if len(items) else at
+            order = np.lexsort((flat, count, owner))
+            flat, count = flat[order], count[order]
+            behind = ends[owner] - np.arange(len(flat)) - 1
+            own_need = need[owner]
+            kept = np.flatnonzero((behind >= own_need - 1) & ((count > skew) | (not blocks)))
+            tail = behind[kept] if whole_tail else np.minimum(behind[kept] - own_need[kept] + 2, behind[kept])
+            column = flat[kept].copy()
+            # Parts of skewed columns: the row goes into its own, a hub into every one, or it meets every other part.
+            skewed = count[kept] > skew
+            parts = np.where(skewed, count[kept] // SKEWED + 1, 1)
+            mine = _mixed(doc[owner[kept]])
+            own = (mine % parts.astype(np.uint64)).astype(np.int64)
+            hub = skewed & (mine.astype(np.float64) * count[kept] < 64 * 2.0**64)
+            copies = parts if blocks else np.where(hub, parts, 1)
+            other = _ranges(np.zeros(len(kept), np.int64), copies)
+            kept, column, tail, skewed, own, copies_of = (np.repeat(x, copies) for x in (kept, column, tail, skewed, own, copies))
+            if blocks:
+                part = np.minimum(own, other) * 65536 + np.maximum(own, other)
+            else:
+                part = np.where(copies_of > 1, other, own)
+            column = np.where(skewed, column ^ _mixed(part + 1, 1).view(np.int64), column)
+            head = np.zeros((len(kept), 8), np.uint16)
+            d = owner[kept]
+            head[:, :4] = doc[d].view(np.uint16).reshape(-1, 4)
+            head[:, 4:6] = size[d].view(np.uint16).reshape(-1, 2)
+            head[:, 6], head[:, 7] = np.minimum(k[d], 65535), np.minimum(need[d], 32767) + 32768 * skewed
+            out_ends = np.concatenate([[0], np.cumsum(8 + tail)])
+            body = np.empty(out_ends[-1], np.uint16)
+            body[out_ends[:-1, None] + np.arange(8)] = head
+            short = (_mixed(flat, 2) % np.uint64(65534)).astype(np.uint16)
+            body[_ranges(out_ends[:-1] + 8, tail)] = short[_ranges(kept + 1, tail)]
+            rows = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer((2 * out_ends).astype(np.int32)), pa.py_buffer(body)])
+            for i in range(0, len(kept), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(column[i : i + (1 << 16)]), rows.slice(i, 1 << 16), pa.array(doc[d[i : i + (1 << 16)]])][: 2 + blocks], ["column", "row", "doc"][: 2 + blocks])
+
+    return run
+
 
-    Pairs come out as kind 0 with both documents in x and y; rows of wide columns as kind 1 with the column in x.
+class _Rows:
+    """Rows of a block as arrays; tails are padded by 65534."""
+
+    def __init__(self, rows: pa.Array, column: np.ndarray, label: np.ndarray | None) -> None:
+        ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64) // 2
+        body = np.frombuffer(rows.buffers()[2], np.uint16, ends[-1])
+        head = body[ends[:-1, None] + np.arange(8)]
+        self.doc, self.size = head[:, :4].copy().view(np.int64)[:, 0], head[:, 4:6].copy().view(np.int32)[:, 0].astype(np.int64)
+        self.k, self.need, self.skewed = head[:, 6].astype(np.int64), (head[:, 7] & 32767).astype(np.int64), head[:, 7] >= 32768
+        self.tail = np.diff(ends) - 8
+        self.short = np.full((len(rows), max(int(self.tail.max(initial=0)), 1)), 65534, np.uint16)
+        self.short[np.repeat(np.arange(len(rows)), self.tail), _ranges(np.zeros(len(rows), np.int64), self.tail)] = body[_ranges(ends[:-1] + 8, self.tail)]
+        self.run = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
+        self.label = self.doc if label is None else label
+
+    def close(self, p: np.ndarray, q: np.ndarray, ratio: float, share: int) -> pa.RecordBatch:
+        """(kind 0, x, y, n) of those pairs that can be alike, n being their common columns from here on."""
+        x, y = self.size[p], self.size[q]
+        fit = (np.minimum(x, y) >= ratio * np.maximum(x, y)) & (self.label[p] != self.label[q]) & (self.doc[p] != self.doc[q])
+        p, q = p[fit], q[fit]
+        n = np.ones(len(p), np.int32)
+        for i in range(0, len(p), 1 << 15):
+            v, w = self.short[p[i : i + (1 << 15)]], self.short[q[i : i + (1 << 15)]]
+            w[w == 65534] = 65535
+            for j in range(w.shape[1]):
+                n[i : i + (1 << 15)] += (v == w[:, j : j + 1]).any(axis=1)
+        least = -(-np.minimum(self.k[p], self.k[q]) // share) if share else 2
+        fit = n >= least
+        x, y = self.doc[p[fit]], self.doc[q[fit]]
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int8)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n[fit]), pa.nulls(len(x), pa.binary())], ["kind", "x", "y", "n", "row"])
+
+    def every(self, among: np.ndarray, whole_tail: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of rows ``among`` with this column and a further one in common and of different labels."""
+        first = np.minimum(self.tail[among] - (self.need[among] - 2) * whole_tail, self.tail[among])
+        owner = np.repeat(among, first)
+        key = self.run[owner] << 17 | self.short[owner, _ranges(np.zeros(len(among), np.int64), first)]
+        # Where one common column is enough, there is no second one to meet in.
+        alone = among[self.need[among] == 1]
+        owner, key = np.concatenate([owner, alone]), np.concatenate([key, self.run[alone] << 17 | 65536])
+        order = np.lexsort((self.label[owner], key))
+        owner, key = owner[order], key[order]
+        label = self.label[owner]
+        new_key = np.concatenate([key[1:] != key[:-1], [True]])[: len(key)]
+        new_label = new_key | np.concatenate([label[1:] != label[:-1], [True]])[: len(key)]
+        ends, own_ends = np.flatnonzero(new_key) + 1, np.flatnonzero(new_label) + 1
+        here = np.arange(len(key))
+        end, start = ends[np.searchsorted(ends, here, "right")], own_ends[np.searchsorted(own_ends, here, "right")]
+        total = np.concatenate([[0], np.cumsum(end - start)])
+        for base in range(0, int(total[-1]), 1 << 20):
+            # Pairs base .. base + 2^20 of the list of all.
+            number = np.arange(base, min(base + (1 << 20), total[-1]))
+            i = np.searchsorted(total, number, "right") - 1
+            p, q = owner[i], owner[start[i] + number - total[i]]
+            code = np.unique(np.minimum(p, q) * len(self.doc) + np.maximum(p, q))
+            yield code // len(self.doc), code % len(self.doc)
+
+    def hubs(self, among: np.ndarray, ratio: float, hubs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows ``among`` and the hubs of lowest priority of their column in their own and the neighbouring classes of size."""
+        level = np.floor(np.log(np.maximum(self.size[among], 1)) / -math.log(ratio)).astype(np.int64)
+        key = self.run[among] * 256 + level + 1
+        order = np.lexsort((_mixed(self.doc[among]), key))
+        among, key = among[order], key[order]
+        for step in (-1, 0, 1):
+            start, end = np.searchsorted(key, key + step), np.searchsorted(key, key + step, "right")
+            for h in range(hubs):
+                has = start + h < end
+                yield among[has], among[(start + h)[has]]
+
+
+def _multiply(wide: int | None, hubs: int, ratio: float, share: int):
+    """Multiplies the columns of one block; rows (column, row[, label]) come sorted by column.
+
+    Pairs come out as kind 0. Columns of more than ``wide`` rows are multiplied with their hubs only, and their rows come
+    out as kind 1 with the column in x. With ``wide`` None every column is multiplied in full.
     """
 
-    def emit(kind: int, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y), pa.array(size)], ["kind", "x", "y", "size"])
-
-    def pairs(column: np.ndarray, doc: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        step = 1
-        while True:
-            same = np.flatnonzero(column[step:] == column[:-step])
-            if not len(same):
-                return
-            p, q, x, y = size[same], size[same + step], doc[same], doc[same + step]
-            keep = (np.minimum(p, q) >= ratio * np.maximum(p, q)) & (x != y)
-            x, y = x[keep], y[keep]
-            if len(x):
-                yield emit(0, np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), np.int32))
-            step += 1
+    def block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        column = np.asarray(table.column(0).combine_chunks(), np.int64)
+        edges = np.concatenate([[0], np.flatnonzero(column[1:] != column[:-1]) + 1, [len(column)]])
+        length = np.repeat(np.diff(edges), np.diff(edges))
+        shared = np.flatnonzero(length > 1)
+        if not len(shared):
+            return
+        table, column, length = table.take(pa.array(shared)), column[shared], length[shared]
+        coded = pa.concat_arrays(table.column(1).chunks)
+        rows = _Rows(coded, column, np.asarray(table.column(2).combine_chunks(), np.int64) if table.num_columns > 2 else None)
+        is_wide = length > wide if wide is not None else np.zeros(len(length), bool)
+        for p, q in rows.every(np.flatnonzero(~is_wide), share > 0):
+            yield rows.close(p, q, ratio, share)
+        if is_wide.any():
+            for p, q in rows.hubs(np.flatnonzero(is_wide), ratio, hubs):
+                yield rows.close(p, q, ratio, share)
+            left = np.flatnonzero(is_wide & ~rows.skewed)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(left), np.int8)), pa.array(column[left]), pa.array(rows.doc[left]), pa.array(np.zeros(len(left), np.int32)), coded.take(pa.array(left))], ["kind", "x", "y", "n", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        hot: int | None = None
-        last = False
-        source = iter(batches)
-        while not last:
-            batch = next(source, None)
-            last = batch is None
-            if batch is not None:
-                rows = [np.concatenate([x, np.asarray(batch.column(i), x.dtype)]) for i, x in enumerate(rows)]
-            column = rows[0]
-            if not len(column):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            edges = np.concatenate([[0], np.flatnonzero(column[1:] != column[:-1]) + 1, [len(column)]])
-            runs = np.diff(edges)
-            is_hot = runs > wide if wide is not None else np.zeros(len(runs), bool)
-            if hot is not None and column[0] == hot:
-                is_hot[0] = True
-            done = len(runs) if last or is_hot[-1] else len(runs) - 1
-            stop = edges[done]
-            mark = np.repeat(is_hot[:done], runs[:done])
-            yield from pairs(*(x[:stop][~mark] for x in rows))
-            if mark.any():
-                yield emit(1, *(x[:stop][mark] for x in rows))
-                hot = int(column[stop - 1]) if is_hot[done - 1] else None
-            rows = [x[stop:] for x in rows]
+            column = np.asarray(batch.column(0), np.int64)
+            cut = int(np.searchsorted(column, column[-1]))
+            # The last column may go on in the next batch.
+            if held and (cut or held[-1].column(0)[-1].as_py() != column[-1]):
+                yield from block(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from block(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from block(pa.Table.from_batches(held))
 
     return run
 
 
-def popular(entries: DataFrame) -> DataFrame:
-    """(column) of columns that hold so large a share of all entries that one task should not get them; TRACKED rows at most."""
-    part = entries.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(column, {TRACKED})").alias("state"), F.count("*").alias("n"))
-    # By a constant, as no entries must give no summary.
-    top = part.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(state, {TRACKED})").alias("state"), F.sum("n").alias("n"))
-    items = top.select("n", F.explode(F.expr(f"approx_top_k_estimate(state, {TRACKED})")).alias("i"))
-    return items.filter(F.col("i.count") >= F.greatest(F.lit(LEAST_SKEWED), F.col("n") * SKEWED / TRACKED)).select(F.col("i.item").alias("column"))
-
-
-def _product(rows: DataFrame, wide: int | None, ratio: float, least: int) -> DataFrame:
-    """(kind, x, y, size, n): summed pairs of ``least`` or more columns, and the rows of wide columns."""
-    out = rows.repartition("column").sortWithinPartitions("column").mapInArrow(_multiply(wide, ratio), "kind tinyint, x bigint, y bigint, size int")
-    return cut_lineage(out.groupBy("kind", "x", "y").agg(F.max("size").alias("size"), F.count("*").alias("n")).filter((F.col("kind") == 1) | (F.col("n") >= least)))
-
-
-def _pairs(rows: DataFrame, more: int = 0) -> DataFrame:
-    return rows.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), (F.col("n") + more).alias("n"))
-
-
-def overlaps(entries: DataFrame, totals: DataFrame, ratio: float, with_hub: int, wide: int | None = WIDE, hubs: int = HUBS) -> DataFrame:
-    """entries (column, doc, size), totals (doc, n_columns) -> (a, b, n): candidate pairs a < b with their counted overlap."""
-    entries = entries.select("column", "doc", "size")
-    if wide is None:
-        return _pairs(_product(entries, None, ratio, 1))
-    skewed = cut_lineage(popular(entries))
-    first = _product(entries.join(F.broadcast(skewed), "column", "left_anti"), wide, ratio, 2)  # TRACKED rows at most
-    hot = first.filter("kind = 1").select(F.col("x").alias("column"), F.col("y").alias("doc"), "size").unionByName(entries.join(F.broadcast(skewed), "column", "left_semi"))
-    if hot.isEmpty():
-        return _pairs(first)
-    # At most SKETCH wide columns a document.
-    mostly = hot.groupBy("doc").agg(F.sort_array(F.collect_set("column")).alias("w"), F.max("size").alias("size"))
-    members = cut_lineage(mostly.join(totals.groupBy("doc").agg(F.min("n_columns").alias("n_columns")), "doc").filter(F.size("w") * 4 > F.col("n_columns")).drop("n_columns"))
-    return _pairs(first).unionByName(_triples(members, wide, ratio)).unionByName(_with_hubs(members, ratio, with_hub, hubs)).groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def _triples(members: DataFrame, wide: int, ratio: float) -> DataFrame:
-    """Pairs that share three wide columns near each other in hash order; triples that are wide again are left to the hubs."""
-    last = F.greatest(F.size("w") - 3, F.lit(1))
-    at = lambda i, k: F.try_element_at("w", i + k)
-    near = F.flatten(F.transform(F.sequence(F.lit(1), last), lambda i: F.array(*[F.xxhash64(at(i, 0), at(i, j), at(i, k)) for j, k in ((1, 2), (1, 3), (2, 3))])))
-    return _pairs(_product(members.filter("size(w) > 2").select(F.explode(near).alias("column"), "doc", "size"), wide, ratio, 1), 2)
-
-
-def _with_hubs(members: DataFrame, ratio: float, least: int, hubs: int) -> DataFrame:
-    """Pairs of members and hubs that share at least ``least`` wide columns."""
-    # Sizes within the ratio lie in the same class or in neighbouring ones.
-    level = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-math.log(ratio)))
-    rows = members.select("doc", "size", level.alias("level"), F.xxhash64("doc", F.lit("hub")).alias("order"), F.explode("w").alias("column"))
-    first = F.row_number().over(W.partitionBy("column", "level").orderBy("order", "doc"))
-    # The rank is limited before the shuffle; the join's own exchanges let a popular column be split at run time.
-    chosen = cut_lineage(rows.withColumn("r", first).filter(F.col("r") <= hubs).select("column", "level", F.col("doc").alias("hub"), F.col("size").alias("hub_size"), F.col("order").alias("hub_order"), F.col("level").alias("hub_level")))
-    asked = rows.withColumnRenamed("level", "own").withColumn("level", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
-    near = asked.join(chosen, ["column", "level"]).filter((F.col("doc") != F.col("hub")) & ((F.col("own") != F.col("hub_level")) | (F.col("order") > F.col("hub_order"))))
-    near = near.filter(F.least("size", "hub_size") >= ratio * F.greatest("size", "hub_size")).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
-    return near.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-
-
-def grouped(pairs: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """pairs (id_a, id_b, n) -> (id, label): components of the pairs that ``check`` keeps.
+def _product(rows: DataFrame, wide: int | None, hubs: int, ratio: float, share: int) -> DataFrame:
+    out = rows.repartition("column").sortWithinPartitions("column").mapInArrow(_multiply(wide, hubs, ratio, share), "kind tinyint, x bigint, y bigint, n int, row binary")
+    return cut_lineage(out)
+
+
+def _pairs(out: DataFrame) -> DataFrame:
+    return out.filter("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.max("n").alias("n"))
+
+
+def overlaps(docs: DataFrame, ratio: float, share: int, wide: int | None = WIDE, hubs: int = HUBS) -> tuple[DataFrame, Callable[[DataFrame], DataFrame | None]]:
+    """docs (doc, size, need, columns) -> candidate pairs (a, b, n), and what finds the rest once components are known.
+
+    The first has all candidates of columns of up to ``wide`` rows and those with hubs of the others. The second takes
+    labels (doc, label) and returns all candidates of the other columns whose ends have different labels, or None.
+    A candidate shares a ``share``-th of the columns of the shorter list, or two columns if ``share`` is 0.
+    """
+    docs = docs.select("doc", "size", "need", "columns")
+    known = popular(docs.select(F.explode("columns").alias("column")))
+    skew = math.inf if wide is None else SKEWED
+    first = _product(docs.mapInArrow(_entries(known, share > 0, False, skew), "column bigint, row binary"), wide, hubs, ratio, share)
+
+    def rest(labels: DataFrame) -> DataFrame | None:
+        wide_rows = first.filter("kind = 1").select(F.col("x").alias("column"), F.col("y").alias("doc"), "row")
+        if max(known.values(), default=0) > skew:
+            blocks = docs.mapInArrow(_entries(known, share > 0, True, skew), "column bigint, row binary, doc bigint")
+            wide_rows = wide_rows.unionByName(blocks)
+        elif wide_rows.isEmpty():
+            return None
+        labelled = wide_rows.join(labels, "doc", "left").select("column", "row", F.coalesce("label", "doc").alias("label"))
+        return _pairs(_product(labelled, None, hubs, ratio, share))
+
+    return _pairs(first), rest
+
+
+def merged(labels: DataFrame | None, pairs: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """pairs (id_a, id_b, n) -> (id, label): components of ``labels`` and the pairs that ``check`` keeps.
 
     Every record's pair of greatest n is checked first; then all pairs whose ends are still in different components.
     """
     ends = pairs.select(F.col("id_a").alias("id"), F.struct("n", F.col("id_b").alias("other")).alias("p")).unionByName(pairs.select(F.col("id_b").alias("id"), F.struct("n", F.col("id_a").alias("other")).alias("p")))
-    best = ends.groupBy("id").agg(F.max("p.n").alias("n"), F.max_by("p.other", "p").alias("other"))
+    best = ends.groupBy("id").agg(F.max_by("p.other", "p").alias("other"))
     best = cut_lineage(best.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct())
-    labels = components(check(best))
+    labels = components(check(best)) if labels is None else _joined(labels, best, check)
+    return _joined(labels, pairs.join(best, ["id_a", "id_b"], "left_anti"), check)
+
+
+def _joined(labels: DataFrame, pairs: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """labels (id, label) with those components made one that a pair of ``pairs`` joins."""
     x, y = (labels.select(F.col("id").alias(f"id_{s}"), F.col("label").alias(f"label_{s}")) for s in "ab")
     own = lambda s: F.coalesce(f"label_{s}", f"id_{s}")
-    rest = pairs.join(best, ["id_a", "id_b"], "left_anti").join(x, "id_a", "left").join(y, "id_b", "left").filter(own("a") != own("b"))
+    rest = pairs.join(x, "id_a", "left").join(y, "id_b", "left").filter(own("a") != own("b"))
     rest = cut_lineage(rest.select("id_a", "id_b", own("a").alias("label_a"), own("b").alias("label_b")))
     if rest.isEmpty():
         return labels
@@ -258,7 +384,7 @@ def grouped(pairs: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFr
     joined = components(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
     own_ids = more.select(F.col("id_a").alias("id"), F.col("label_a").alias("label")).union(more.select("id_b", "label_b"))
     every = labels.unionByName(own_ids).distinct()
-    return every.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return cut_lineage(every.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,15 +421,19 @@ def text_groups(df: DataFrame, id_col: str = "id", text_col: str = "content", th
     drawn = cut_lineage(sketches(texts, "id", "text", sketch))
     reps = drawn.groupBy("copy_key").agg(F.min(F.struct("id", "size", "columns")).alias("r"), F.max("id").alias("greatest"))
     reps = cut_lineage(reps.select("copy_key", "r.*", (F.col("greatest") != F.col("r.id")).alias("copied")).withColumn("doc", F.xxhash64("id")))
-    entries = reps.select(F.explode("columns").alias("column"), "doc", "size")
-    close = overlaps(entries, reps.select("doc", F.size("columns").alias("n_columns")), threshold, WITH_HUB, wide, hubs)
-    x, y = (reps.select(F.col("doc").alias(s), F.col("id").alias(f"id_{s}"), F.col("columns").alias(f"columns_{s}")) for s in "ab")
-    common = F.size(F.array_intersect("columns_a", "columns_b"))
-    if wide is not None:
-        close = close.filter(F.col("n") >= NEEDED)
-    both = close.join(x, "a").join(y, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), common.alias("n"), F.least(F.size("columns_a"), F.size("columns_b")).alias("k"))
-    pairs = cut_lineage(both.filter(F.col("n") * SHARE >= F.col("k")).drop("k"))
-    labels = grouped(pairs, lambda p: verified(p, texts, threshold))
+    # A text half as long has as many distinct six-word sequences as three-word ones, less three; its columns are no fewer.
+    fewest = F.least(F.size("columns"), F.greatest(F.ceil(F.col("size") * threshold).cast("int") - 3, F.lit(1)))
+    docs = reps.select("doc", "size", F.ceil(fewest / SHARE).cast("int").alias("need"), "columns")
+    close, rest = overlaps(docs, threshold, SHARE, wide, hubs)
+    names = reps.select("doc", "id")
+    x, y = (names.select(F.col("doc").alias(s), F.col("id").alias(f"id_{s}")) for s in "ab")
+    named = lambda p: cut_lineage(p.join(x, "a").join(y, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "n"))
+    check = lambda p: verified(p, texts, threshold)
+    labels = merged(None, named(close), check)
+    more = rest(labels.select(F.xxhash64("id").alias("doc"), F.xxhash64("label").alias("label")))
+    if more is not None:
+        more = named(more)
+        labels = labels if more.isEmpty() else merged(labels, more, check)
     return with_copies(drawn, reps.withColumnRenamed("id", "rep"), labels, ["copy_key"])
 
 
@@ -404,9 +534,10 @@ def title_groups(df: DataFrame, id_col: str = "id", title_col: str = "title", ed
     keyed = df.filter(F.col(title_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), title_key(F.col(title_col)).alias("k")).select("id", "k.*")
     keyed = cut_lineage(keyed.filter("key <> ''").dropDuplicates(["id"]))
     reps = cut_lineage(keyed.groupBy("key", "volume").agg(F.min("id").alias("rep"), F.min("words").alias("words"), (F.max("id") != F.min("id")).alias("copied")).withColumn("doc", F.xxhash64("key", "volume")))
-    cut_up = cut_lineage(reps.select("doc", F.length("key").alias("size"), title_columns(F.col("key"), F.col("volume")).alias("g")))
-    entries = cut_up.select(F.explode("g").alias("column"), "doc", "size")
-    near = overlaps(entries, cut_up.select("doc", F.size("g").alias("n_columns")), TITLE_RATIO, TITLE_WITH_HUB, wide, hubs)
+    cut_up = reps.select("doc", F.length("key").alias("size"), title_columns(F.col("key"), F.col("volume"), edits).alias("columns"))
+    # A mistyped letter, or two swapped, changes five four-letter sequences at most.
+    need = F.when(F.col("size") > SHORT_TITLE + edits, F.greatest(F.size("columns") - 5 * edits, F.lit(2))).otherwise(2)
+    near, rest = overlaps(cut_lineage(cut_up.withColumn("need", need)), TITLE_RATIO, 0, wide, hubs)
     x, y = (reps.select(F.col("doc").alias(s), F.col("key").alias(f"key_{s}"), F.col("words").alias(f"words_{s}"), F.col("volume").alias(f"volume_{s}"), F.col("rep").alias(f"rep_{s}")) for s in "ab")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,11 +545,20 @@ def title_groups(df: DataFrame, id_col: str = "id", title_col: str = "title", ed
             good = [same_title(s, t, edits) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
-    close = near.join(x, "a").join(y, "b").filter("volume_a = volume_b").filter(F.abs(F.length("key_a") - F.length("key_b")) <= edits)
-    # A swap counts two here; the exact count of mistyped letters follows.
-    close = close.filter(F.levenshtein("key_a", "key_b", 2 * edits) >= 0).select("rep_a", "rep_b", "words_a", "words_b")
-    links = close.mapInArrow(exact, "a string, b string, good boolean").filter("good").select("a", "b")
-    return with_copies(keyed, reps, components(links), ["key", "volume"])
+    def linked(pairs: DataFrame) -> DataFrame:
+        close = pairs.join(x, "a").join(y, "b").filter("volume_a = volume_b").filter(F.abs(F.length("key_a") - F.length("key_b")) <= edits)
+        # A swap counts two here; the exact count of mistyped letters follows.
+        close = close.filter(F.levenshtein("key_a", "key_b", 2 * edits) >= 0).select("rep_a", "rep_b", "words_a", "words_b")
+        return cut_lineage(close.mapInArrow(exact, "a string, b string, good boolean").filter("good").select("a", "b"))
+
+    links = linked(near)
+    labels = components(links)
+    by_rep = labels.join(reps.select(F.col("rep").alias("id"), "doc"), "id").select("doc", F.xxhash64("label").alias("label"))
+    more = rest(by_rep)
+    if more is not None:
+        more = linked(more)
+        labels = labels if more.isEmpty() else components(links.unionByName(more))
+    return with_copies(keyed, reps, labels, ["key", "volume"])
 
 
 def found(chapters: DataFrame, books: DataFrame) -> DataFrame:

@@ -131,3 +131,35 @@ def test_query(spark, data):
     assert out.columns == ["field", "id_a", "id_b"] and len(rows) == len(set(rows)) and all(r["id_a"] < r["id_b"] for r in rows)
     docs = {r["id"]: r["content"] for r in table(spark, data, "chapters").collect()}
     assert {(r["id_a"], r["id_b"]) for r in rows if r["field"] == "content"} == model(docs)
+
+
+def test_nothing_in_wide_columns_is_left_out(spark):
+    """Members just under and over the threshold, most of them alike to a few others and to no hub."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    docs = {f"m{m:04}": " ".join(f"x{m}y{i}" if i in own else w for i, w in enumerate(base)) for m in range(500) for own in [set(r.sample(range(120), 12))]}
+    df = spark.createDataFrame(list(docs.items()), "id string, content string")
+    full = {row["id"]: row["label"] for row in neardup.text_groups(df, wide=None).collect()}
+    for wide, hubs in ((64, 12), (8, 1)):
+        assert {row["id"]: row["label"] for row in neardup.text_groups(df, wide=wide, hubs=hubs).collect()} == full
+
+
+def test_titles_without_a_hub(spark):
+    """Pairs of titles that share all their columns with each other and single ones with many."""
+    r = random.Random(12)
+    names = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(6)) for _ in range(150)]
+    titles = {f"{n:03}{s}": f"The Wonderful Adventures of Captain {name[:i] + 'q' + name[i + 1 :] if s else name}" for n, name in enumerate(names) for s in (0, 1) for i in [r.randrange(1, 11)]}
+    df = spark.createDataFrame(list(titles.items()), "id string, title string")
+    got = {row["id"]: row["label"] for row in neardup.title_groups(df).collect()}
+    assert got == {row["id"]: row["label"] for row in neardup.title_groups(df, wide=None).collect()} and all(got[f"{n:03}0"] == got[f"{n:03}1"] for n in range(150))
+
+
+def test_spread_columns(spark, monkeypatch):
+    """Columns so popular that they are divided over tasks give the same groups."""
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(90)]
+    docs = {f"m{m:04}": " ".join(f"x{m}y{i}" if i in own else w for i, w in enumerate(base)) for m in range(300) for own in [set(r.sample(range(90), 9))]}
+    df = spark.createDataFrame(list(docs.items()), "id string, content string")
+    full = {row["id"]: row["label"] for row in neardup.text_groups(df, wide=None).collect()}
+    monkeypatch.setattr(neardup, "SKEWED", 40)
+    assert {row["id"]: row["label"] for row in neardup.text_groups(df, wide=16, hubs=1).collect()} == full
