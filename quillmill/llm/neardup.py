@@ -9,7 +9,8 @@ are summed over the blocks, and pairs below bounds that follow from the document
   lowest ones. Pairs whose sketches share at least a ``SHARE``-th go to the exact Jaccard coefficient of all three-word
   sequences, over the whole texts.
 * Titles: four-letter sequences of the normalised title (three-letter ones too, if it is short, and what remains of a very
-  short one without any two letters) are columns; pairs with two in common are then compared letter by letter.
+  short one without any two letters) are columns; pairs with two in common, or with as many as mistyped letters leave of a
+  long title, are then compared letter by letter.
 
 All documents have their columns in one order, the most popular ones last as a top-k summary knows them. A pair that shares
 enough columns shares one before the last few, so those are not multiplied. Each row brings the columns behind it as short
@@ -17,7 +18,8 @@ numbers: within a column, only documents that share one of these too are paired,
 
 A column of more than ``wide`` documents is first multiplied with its ``hubs`` documents of lowest priority in each class of
 size, the same priority in all columns. When the groups of the pairs found so far are known, it is multiplied in full, but for
-pairs within one group, which would not change the groups. So ``wide`` and ``hubs`` decide on time, not on results; what
+pairs within one group, which would not change the groups, and for texts whose three-word sequences cannot be half the same by
+their numbers in the slots of a hash. So ``wide`` and ``hubs`` decide on time, not on results; what
 stays quadratic is a column whose documents share enough others too without belonging together (one notice in many texts).
 Columns of more than SKEWED documents are spread over tasks, by every two of their parts for the full product.
 
@@ -39,6 +41,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,7 +51,7 @@ from quillmill.llm.tokens import slices
 from quillmill.tables import cut_lineage
 
 THRESHOLD, LEAST_WORDS, SHINGLE = 0.5, 40, 3
-COLUMN_WORDS, SKETCH, SHARE, WIDE, HUBS = 6, 32, 7, 64, 12
+COLUMN_WORDS, SKETCH, SHARE, WIDE, HUBS, HUB_SHARE = 6, 32, 7, 64, 12, 4
 TITLE_EDITS, TITLE_GRAM, SHORT_TITLE, VERY_SHORT_TITLE, TITLE_RATIO, TITLE_WIDE, TITLE_HUBS = 4, 4, 24, 12, 0.6, 16, 2
 #: Items that the summary of popular columns keeps, least rows of those used, and rows from which a column is spread over tasks.
 TRACKED, LISTED, SKEWED = 1 << 15, 8, 1 << 14
@@ -149,12 +152,30 @@ def _mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * _MIX[(k + 1) % 3]
 
 
-def _entries(known: dict[int, int], whole_tail: bool, blocks: bool, skew: float):
+def marks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark): the numbers of distinct three-word sequences of a text by slots of their hash, about as many slots as sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in slices(batches):
+            out = []
+            for text in batch.column(1).to_pylist():
+                own = np.unique(sequence_hashes(word_hashes(text, known), SHINGLE))
+                slots = 1 << min(max(len(own) - 1, 63).bit_length(), 12)
+                counts = np.bincount((own >> np.uint64(8)).astype(np.int64) & (slots - 1), minlength=slots)
+                # A text with an overfull slot has no mark and is never ruled out.
+                out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "mark"])
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id string, mark binary")
+
+
+def _entries(known: dict[int, int], blocks: bool, skew: float):
     """Rows (doc, size, need, columns) -> (column, row, doc): the columns of a document that a pair of it can have as its first common one.
 
     The columns of all documents are in one order, those of ``known`` last, by number of rows. Who shares ``need`` columns
-    has the first common one among all but the last need - 1 of them. The row holds the columns behind it as 16-bit numbers
-    (only those among which the second common one must be, unless ``whole_tail``). A column of more than ``skew`` rows is
+    has the first common one among all but the last need - 1 of them. The row holds the columns behind it as 16-bit numbers.
+    A column of more than ``skew`` rows is
     spread: with the same hubs in each part, or, for ``blocks``, over blocks of every two parts, and nothing else comes out.
     """
     items = np.array(sorted(known), np.int64)
@@ -176,7 +197,7 @@ def _entries(known: dict[int, int], whole_tail: bool, blocks: bool, skew: float)
             behind = ends[owner] - np.arange(len(flat)) - 1
             own_need = need[owner]
             kept = np.flatnonzero((behind >= own_need - 1) & ((count > skew) | (not blocks)))
-            tail = behind[kept] if whole_tail else np.minimum(behind[kept] - own_need[kept] + 2, behind[kept])
+            tail = behind[kept]
             column = flat[kept].copy()
             # Parts of skewed columns: the row goes into its own, a hub into every one, or it meets every other part.
             skewed = count[kept] > skew
@@ -212,7 +233,7 @@ def _entries(known: dict[int, int], whole_tail: bool, blocks: bool, skew: float)
 class _Rows:
     """Rows of a block as arrays; tails are padded by 65534."""
 
-    def __init__(self, rows: pa.Array, column: np.ndarray, label: np.ndarray | None) -> None:
+    def __init__(self, rows: pa.Array, column: np.ndarray, label: np.ndarray | None, mark: pa.Array | None) -> None:
         ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64) // 2
         body = np.frombuffer(rows.buffers()[2], np.uint16, ends[-1])
         head = body[ends[:-1, None] + np.arange(8)]
@@ -223,6 +244,37 @@ class _Rows:
         self.short[np.repeat(np.arange(len(rows)), self.tail), _ranges(np.zeros(len(rows), np.int64), self.tail)] = body[_ranges(ends[:-1] + 8, self.tail)]
         self.run = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
         self.label = self.doc if label is None else label
+        self.marks: dict[int, np.ndarray] = {}
+        self.row_in: dict[int, np.ndarray] = {}
+        self.slots = np.zeros(len(rows), np.int64) if mark is None else np.asarray(pc.binary_length(mark).fill_null(0), np.int64)
+        finer = None
+        for slots in sorted(set(self.slots[self.slots > 0].tolist()), reverse=True):
+            # A row's slots are halved by adding, for pairs with a text of fewer slots.
+            own = np.flatnonzero(self.slots == slots)
+            table = np.frombuffer(b"".join(mark.take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), slots).astype(np.uint16)
+            if finer is not None:
+                above, more = finer
+                while more.shape[1] > slots:
+                    more = more[:, : more.shape[1] // 2] + more[:, more.shape[1] // 2 :]
+                near = self.slots[above] <= 4 * slots
+                own, table = np.concatenate([own, above[near]]), np.concatenate([table, more[near]])
+            finer = own, table
+            self.marks[slots], self.row_in[slots] = table, np.full(len(rows), -1)
+            self.row_in[slots][own] = np.arange(len(own))
+
+    def possible(self, p: np.ndarray, q: np.ndarray, ratio: float) -> np.ndarray:
+        """Whether the marks leave room for enough common sequences; sets have no more in common than their slots have."""
+        good = np.ones(len(p), bool)
+        both = np.minimum(self.slots[p], self.slots[q])
+        for slots, table in self.marks.items():
+            at = np.flatnonzero(both == slots)
+            i, j = self.row_in[slots][p[at]], self.row_in[slots][q[at]]
+            at, i, j = (x[(i >= 0) & (j >= 0)] for x in (at, i, j))
+            for b in range(0, len(at), 2048):
+                a = at[b : b + 2048]
+                most = np.minimum(table[i[b : b + 2048]], table[j[b : b + 2048]]).sum(axis=1, dtype=np.int64)
+                good[a] = most * (1 + ratio) + 1e-6 >= ratio * (self.size[p[a]] + self.size[q[a]])
+        return good
 
     def close(self, p: np.ndarray, q: np.ndarray, ratio: float, share: int) -> pa.RecordBatch:
         """(kind 0, x, y, n) of those pairs that can be alike, n being their common columns from here on."""
@@ -235,14 +287,16 @@ class _Rows:
             w[w == 65534] = 65535
             for j in range(w.shape[1]):
                 n[i : i + (1 << 15)] += (v == w[:, j : j + 1]).any(axis=1)
-        least = -(-np.minimum(self.k[p], self.k[q]) // share) if share else 2
+        least = -(-np.minimum(self.k[p], self.k[q]) // share) if share else np.maximum(self.need[p], self.need[q])
         fit = n >= least
+        if self.marks:
+            fit[fit] = self.possible(p[fit], q[fit], ratio)
         x, y = self.doc[p[fit]], self.doc[q[fit]]
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int8)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n[fit]), pa.nulls(len(x), pa.binary())], ["kind", "x", "y", "n", "row"])
 
-    def every(self, among: np.ndarray, whole_tail: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def every(self, among: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of rows ``among`` with this column and a further one in common and of different labels."""
-        first = np.minimum(self.tail[among] - (self.need[among] - 2) * whole_tail, self.tail[among])
+        first = np.minimum(self.tail[among] - self.need[among] + 2, self.tail[among])
         owner = np.repeat(among, first)
         key = self.run[owner] << 17 | self.short[owner, _ranges(np.zeros(len(among), np.int64), first)]
         # Where one common column is enough, there is no second one to meet in.
@@ -279,7 +333,7 @@ class _Rows:
 
 
 def _multiply(wide: int | None, hubs: int, ratio: float, share: int):
-    """Multiplies the columns of one block; rows (column, row[, label]) come sorted by column.
+    """Multiplies the columns of one block; rows (column, row[, label[, mark]]) come sorted by column.
 
     Pairs come out as kind 0. Columns of more than ``wide`` rows are multiplied with their hubs only, and their rows come
     out as kind 1 with the column in x. With ``wide`` None every column is multiplied in full.
@@ -294,13 +348,13 @@ def _multiply(wide: int | None, hubs: int, ratio: float, share: int):
             return
         table, column, length = table.take(pa.array(shared)), column[shared], length[shared]
         coded = pa.concat_arrays(table.column(1).chunks)
-        rows = _Rows(coded, column, np.asarray(table.column(2).combine_chunks(), np.int64) if table.num_columns > 2 else None)
+        rows = _Rows(coded, column, np.asarray(table.column(2).combine_chunks(), np.int64) if table.num_columns > 2 else None, table.column(3).combine_chunks() if table.num_columns > 3 else None)
         is_wide = length > wide if wide is not None else np.zeros(len(length), bool)
-        for p, q in rows.every(np.flatnonzero(~is_wide), share > 0):
+        for p, q in rows.every(np.flatnonzero(~is_wide)):
             yield rows.close(p, q, ratio, share)
         if is_wide.any():
             for p, q in rows.hubs(np.flatnonzero(is_wide), ratio, hubs):
-                yield rows.close(p, q, ratio, share)
+                yield rows.close(p, q, ratio, HUB_SHARE if share else 0)
             left = np.flatnonzero(is_wide & ~rows.skewed)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(left), np.int8)), pa.array(column[left]), pa.array(rows.doc[left]), pa.array(np.zeros(len(left), np.int32)), coded.take(pa.array(left))], ["kind", "x", "y", "n", "row"])
 
@@ -333,26 +387,29 @@ def _pairs(out: DataFrame) -> DataFrame:
     return out.filter("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.max("n").alias("n"))
 
 
-def overlaps(docs: DataFrame, ratio: float, share: int, wide: int | None = WIDE, hubs: int = HUBS) -> tuple[DataFrame, Callable[[DataFrame], DataFrame | None]]:
+def overlaps(docs: DataFrame, ratio: float, share: int, wide: int | None = WIDE, hubs: int = HUBS, marked: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame | None]]:
     """docs (doc, size, need, columns) -> candidate pairs (a, b, n), and what finds the rest once components are known.
 
     The first has all candidates of columns of up to ``wide`` rows and those with hubs of the others. The second takes
     labels (doc, label) and returns all candidates of the other columns whose ends have different labels, or None.
-    A candidate shares a ``share``-th of the columns of the shorter list, or two columns if ``share`` is 0.
+    There, ``marked`` gives documents (doc) their marks (doc, mark), by which pairs are ruled out that cannot reach ``ratio``.
+    A candidate shares a ``share``-th of the columns of the shorter list, or as many as either needs if ``share`` is 0. Texts
+    that share less than a HUB_SHARE-th with a hub are left to the second.
     """
     docs = docs.select("doc", "size", "need", "columns")
     known = popular(docs.select(F.explode("columns").alias("column")))
     skew = math.inf if wide is None else SKEWED
-    first = _product(docs.mapInArrow(_entries(known, share > 0, False, skew), "column bigint, row binary"), wide, hubs, ratio, share)
+    first = _product(docs.mapInArrow(_entries(known, False, skew), "column bigint, row binary"), wide, hubs, ratio, share)
 
     def rest(labels: DataFrame) -> DataFrame | None:
         wide_rows = first.filter("kind = 1").select(F.col("x").alias("column"), F.col("y").alias("doc"), "row")
         if max(known.values(), default=0) > skew:
-            blocks = docs.mapInArrow(_entries(known, share > 0, True, skew), "column bigint, row binary, doc bigint")
+            blocks = docs.mapInArrow(_entries(known, True, skew), "column bigint, row binary, doc bigint")
             wide_rows = wide_rows.unionByName(blocks)
         elif wide_rows.isEmpty():
             return None
-        labelled = wide_rows.join(labels, "doc", "left").select("column", "row", F.coalesce("label", "doc").alias("label"))
+        labelled = wide_rows.join(labels, "doc", "left").select("column", "row", F.coalesce("label", "doc").alias("label"), "doc")
+        labelled = labelled.join(marked(wide_rows.select("doc").distinct()), "doc", "left").drop("doc") if marked else labelled.drop("doc")
         return _pairs(_product(labelled, None, hubs, ratio, share))
 
     return _pairs(first), rest
@@ -424,8 +481,11 @@ def text_groups(df: DataFrame, id_col: str = "id", text_col: str = "content", th
     # A text half as long has as many distinct six-word sequences as three-word ones, less three; its columns are no fewer.
     fewest = F.least(F.size("columns"), F.greatest(F.ceil(F.col("size") * threshold).cast("int") - 3, F.lit(1)))
     docs = reps.select("doc", "size", F.ceil(fewest / SHARE).cast("int").alias("need"), "columns")
-    close, rest = overlaps(docs, threshold, SHARE, wide, hubs)
     names = reps.select("doc", "id")
+    # An id that came with different texts has no mark.
+    wanted = lambda d: texts.join(names.join(d, "doc"), "id")
+    marked = lambda d: marks(wanted(d), "id", "text").groupBy("id").agg(F.when(F.count_distinct(F.coalesce("mark", F.lit(b""))) == 1, F.first("mark")).alias("mark")).select(F.xxhash64("id").alias("doc"), "mark")
+    close, rest = overlaps(docs, threshold, SHARE, wide, hubs, marked)
     x, y = (names.select(F.col("doc").alias(s), F.col("id").alias(f"id_{s}")) for s in "ab")
     named = lambda p: cut_lineage(p.join(x, "a").join(y, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "n"))
     check = lambda p: verified(p, texts, threshold)
