@@ -18,8 +18,9 @@ numbers: within a column, only documents that share one of these too are paired,
 
 A column of more than ``wide`` documents is first multiplied with its ``hubs`` documents of lowest priority in each class of
 size, the same priority in all columns. When the groups of the pairs found so far are known, it is multiplied in full, but for
-pairs within one group, which would not change the groups, and for texts whose three-word sequences cannot be half the same by
-their numbers in the slots of a hash. So ``wide`` and ``hubs`` decide on time, not on results; what
+pairs within one group, which would not change the groups, for texts whose three-word sequences cannot be half the same by the
+slots of a hash that they take (drawn with the columns, so no text is read or moved for it), and for titles with too many letters
+of their own. So ``wide`` and ``hubs`` decide on time, not on results; what
 stays quadratic is a column whose documents share enough others too without belonging together (one notice in many texts).
 Columns of more than SKEWED documents are spread over tasks, by every two of their parts for the full product.
 
@@ -56,23 +57,58 @@ TITLE_EDITS, TITLE_GRAM, SHORT_TITLE, VERY_SHORT_TITLE, TITLE_RATIO, TITLE_WIDE,
 #: Items that the summary of popular columns keeps, least rows of those used, and rows from which a column is spread over tasks.
 TRACKED, LISTED, SKEWED = 1 << 15, 8, 1 << 14
 FILTER_SLOTS = 1 << 20
+#: Characters of text hashed at once, and slots of a text's marks for each of its sequences (at least).
+CHUNK, MARK_SLOTS = 1 << 17, 2
 _WORD = re.compile(r"[^\W_]+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-class _Words(dict):
-    """Hash of each word, computed once a task; emptied when it has grown to a million words."""
+class _Hashes:
+    """Hashes of the words (as of _WORD) of many texts at once.
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    A word's hash is the sum of its characters' numbers times powers of an odd base, modulo 2^64: a difference of running
+    sums, multiplied by the inverse power of the word's start.
+    """
 
+    BASE = 0xD1342543DE82EF95
 
-def word_hashes(text: str, known: _Words) -> np.ndarray:
-    words = _WORD.findall(text.lower())
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    def __init__(self) -> None:
+        self.numbers = np.zeros(0, np.uint64)
+        self.powers = self.inverses = np.zeros(0, np.uint64)
+
+    def _grow(self, chars: int, code: int) -> None:
+        if code >= len(self.numbers):
+            every = np.arange(1 << max(int(code).bit_length(), 12))
+            inside = np.fromiter((chr(c).isalnum() for c in every.tolist()), bool, len(every))
+            # No character of a word has the number 0.
+            self.numbers = np.where(inside, _mixed(every + 1) | np.uint64(1), np.uint64(0))
+        if chars > len(self.powers):
+            size = 1 << (chars - 1).bit_length()
+            self.powers, self.inverses = (np.cumprod(np.full(size, b, np.uint64)) for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The words' hashes of each text, in order."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(text.lower())
+            chars += len(held[-1])
+            if chars > CHUNK:
+                yield from self._chunk(held)
+                held, chars = [], 0
+        if held:
+            yield from self._chunk(held)
+
+    def _chunk(self, texts: list[str]) -> list[np.ndarray]:
+        # A lone half of a surrogate pair belongs to no word, as it is no letter.
+        codes = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self._grow(len(codes), int(codes.max()))
+        numbers = self.numbers[codes]
+        inside = numbers != 0
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2] + 1, edges[1::2]
+        sums = np.cumsum(numbers * self.powers[: len(codes)])
+        hashes = _mixed((sums[ends] - sums[starts - 1]) * self.inverses[starts])
+        return np.split(hashes, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts[:-1]]))) if texts else []
 
 
 def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -90,14 +126,15 @@ class _Sets(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.words = _Words()
+        self.words = _Hashes()
 
-    def of(self, record: str, text: str) -> np.ndarray:
-        if record not in self:
-            if len(self) >= 512:
-                self.clear()
-            self[record] = np.unique(sequence_hashes(word_hashes(text, self.words), SHINGLE))
-        return self[record]
+    def learn(self, records: list, texts: list[str]) -> None:
+        """Has the sets of all these records at hand."""
+        if len(self) >= 512:
+            self.clear()
+        new = {r: t for r, t in zip(records, texts) if r not in self}
+        for record, words in zip(new, self.words.of(list(new.values()))):
+            self[record] = np.unique(sequence_hashes(words, SHINGLE))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -108,28 +145,46 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, sketch: int = SKETCH) -> DataFrame:
-    """(id, copy_key, size, columns): size counts distinct three-word sequences; copies share the key."""
+    """(id, copy_key, size, columns, mark): size counts distinct three-word sequences; copies share the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known = _Hashes()
         for batch in slices(batches):
-            keep, keys, sizes, columns = [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                words = word_hashes(text, known)
+            keep, keys, sizes, columns, marks = [], [], [], [], []
+            for row, words in enumerate(known.of(batch.column(1).to_pylist())):
                 if len(words) < LEAST_WORDS:
                     continue
                 keep.append(row)
                 keys.append(xxhash.xxh3_128_digest(words.tobytes()))
                 ordered = np.sort(sequence_hashes(words, SHINGLE))
                 sizes.append(1 + int(np.count_nonzero(ordered[1:] != ordered[:-1])))
-                columns.append(np.unique(sequence_hashes(words, COLUMN_WORDS))[:sketch].view(np.int64))
+                columns.append(_least(sequence_hashes(words, COLUMN_WORDS), sketch).view(np.int64))
+                marks.append(_mark(ordered, sizes[-1]))
             ends = np.concatenate([[0], np.cumsum([len(c) for c in columns])]).astype(np.int32)
             flat = np.concatenate(columns) if columns else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], ["id", "copy_key", "size", "columns"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(marks, pa.binary())], ["id", "copy_key", "size", "columns", "mark"])
 
     real = df.filter(F.length(text_col) >= 2 * LEAST_WORDS - 1).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return real.mapInArrow(run, "id string, copy_key binary, size int, columns array<bigint>")
+    return real.mapInArrow(run, "id string, copy_key binary, size int, columns array<bigint>, mark binary")
+
+
+def _least(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The ``number`` lowest different ones, in order."""
+    if len(hashes) > 8 * number:
+        # Hashes are spread evenly, so twice that share of them is nearly always enough.
+        low = np.unique(hashes[hashes < np.uint64(2**64 * (2 * number / len(hashes)))])
+        if len(low) >= number:
+            return low[:number]
+    return np.unique(hashes)[:number]
+
+
+def _mark(sequences: np.ndarray, size: int) -> bytes:
+    """Which slots a text's sequences, ``size`` different ones, have by their hash: a bit each, 4 KB at most."""
+    slots = 1 << min(max(MARK_SLOTS * size - 1, 63).bit_length(), 15)
+    bits = np.zeros(slots, bool)
+    bits[(sequences >> np.uint64(8)).astype(np.int64) & (slots - 1)] = True
+    return np.packbits(bits).tobytes()
 
 
 def popular(entries: DataFrame) -> dict[int, int]:
@@ -152,24 +207,6 @@ def _mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * _MIX[(k + 1) % 3]
 
 
-def marks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark): the numbers of distinct three-word sequences of a text by slots of their hash, about as many slots as sequences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for batch in slices(batches):
-            out = []
-            for text in batch.column(1).to_pylist():
-                own = np.unique(sequence_hashes(word_hashes(text, known), SHINGLE))
-                slots = 1 << min(max(len(own) - 1, 63).bit_length(), 12)
-                counts = np.bincount((own >> np.uint64(8)).astype(np.int64) & (slots - 1), minlength=slots)
-                # A text with an overfull slot has no mark and is never ruled out.
-                out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "mark"])
-
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id string, mark binary")
-
-
 def _entries(known: dict[int, int], blocks: bool, skew: float):
     """Rows (doc, size, need, columns) -> (column, row, doc): the columns of a document that a pair of it can have as its first common one.
 
@@ -233,7 +270,7 @@ def _entries(known: dict[int, int], blocks: bool, skew: float):
 class _Rows:
     """Rows of a block as arrays; tails are padded by 65534."""
 
-    def __init__(self, rows: pa.Array, column: np.ndarray, label: np.ndarray | None, mark: pa.Array | None) -> None:
+    def __init__(self, rows: pa.Array, column: np.ndarray, label: np.ndarray | None = None, mark: pa.Array | None = None, edits: int | None = None) -> None:
         ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64) // 2
         body = np.frombuffer(rows.buffers()[2], np.uint16, ends[-1])
         head = body[ends[:-1, None] + np.arange(8)]
@@ -244,35 +281,48 @@ class _Rows:
         self.short[np.repeat(np.arange(len(rows)), self.tail), _ranges(np.zeros(len(rows), np.int64), self.tail)] = body[_ranges(ends[:-1] + 8, self.tail)]
         self.run = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
         self.label = self.doc if label is None else label
-        self.marks: dict[int, np.ndarray] = {}
-        self.row_in: dict[int, np.ndarray] = {}
-        self.slots = np.zeros(len(rows), np.int64) if mark is None else np.asarray(pc.binary_length(mark).fill_null(0), np.int64)
+        self.letters, self.edits = letter_counts(mark) if mark is not None and edits is not None else None, edits
+        self.marks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.slots = np.zeros(len(rows), np.int64)
+        if mark is None or edits is not None:
+            return
+        self.slots = 8 * np.asarray(pc.binary_length(mark).fill_null(0), np.int64)
         finer = None
         for slots in sorted(set(self.slots[self.slots > 0].tolist()), reverse=True):
-            # A row's slots are halved by adding, for pairs with a text of fewer slots.
+            # A row's slots are halved by laying them over one another, for pairs with a text of fewer slots.
             own = np.flatnonzero(self.slots == slots)
-            table = np.frombuffer(b"".join(mark.take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), slots).astype(np.uint16)
+            table = np.frombuffer(b"".join(mark.take(pa.array(own)).to_pylist()), np.uint64).reshape(len(own), slots // 64)
             if finer is not None:
                 above, more = finer
-                while more.shape[1] > slots:
-                    more = more[:, : more.shape[1] // 2] + more[:, more.shape[1] // 2 :]
+                while more.shape[1] > slots // 64:
+                    more = more[:, : more.shape[1] // 2] | more[:, more.shape[1] // 2 :]
                 near = self.slots[above] <= 4 * slots
                 own, table = np.concatenate([own, above[near]]), np.concatenate([table, more[near]])
             finer = own, table
-            self.marks[slots], self.row_in[slots] = table, np.full(len(rows), -1)
-            self.row_in[slots][own] = np.arange(len(own))
+            row_in = np.full(len(rows), -1)
+            row_in[own] = np.arange(len(own))
+            self.marks[slots] = table, row_in, np.bitwise_count(table).sum(axis=1, dtype=np.int64)
 
     def possible(self, p: np.ndarray, q: np.ndarray, ratio: float) -> np.ndarray:
-        """Whether the marks leave room for enough common sequences; sets have no more in common than their slots have."""
+        """Whether the marks leave room for a pair.
+
+        Texts have in common at most one sequence for each slot of both, and as many as either has beyond one a slot. Each
+        mistyped letter of a title changes the numbers of letters by two.
+        """
         good = np.ones(len(p), bool)
+        if self.letters is not None:
+            for b in range(0, len(p), 1 << 14):
+                x, y = self.letters[p[b : b + (1 << 14)]], self.letters[q[b : b + (1 << 14)]]
+                good[b : b + (1 << 14)] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= 2 * self.edits
         both = np.minimum(self.slots[p], self.slots[q])
-        for slots, table in self.marks.items():
+        for slots, (table, row_in, taken) in self.marks.items():
             at = np.flatnonzero(both == slots)
-            i, j = self.row_in[slots][p[at]], self.row_in[slots][q[at]]
+            i, j = row_in[p[at]], row_in[q[at]]
             at, i, j = (x[(i >= 0) & (j >= 0)] for x in (at, i, j))
-            for b in range(0, len(at), 2048):
-                a = at[b : b + 2048]
-                most = np.minimum(table[i[b : b + 2048]], table[j[b : b + 2048]]).sum(axis=1, dtype=np.int64)
+            beyond = self.size[p[at]] - taken[i], self.size[q[at]] - taken[j]
+            for b in range(0, len(at), 8192):
+                a = at[b : b + 8192]
+                most = np.bitwise_count(table[i[b : b + 8192]] & table[j[b : b + 8192]]).sum(axis=1, dtype=np.int64) + np.minimum(*(x[b : b + 8192] for x in beyond))
                 good[a] = most * (1 + ratio) + 1e-6 >= ratio * (self.size[p[a]] + self.size[q[a]])
         return good
 
@@ -281,6 +331,9 @@ class _Rows:
         x, y = self.size[p], self.size[q]
         fit = (np.minimum(x, y) >= ratio * np.maximum(x, y)) & (self.label[p] != self.label[q]) & (self.doc[p] != self.doc[q])
         p, q = p[fit], q[fit]
+        if self.marks or self.letters is not None:
+            fit = self.possible(p, q, ratio)
+            p, q = p[fit], q[fit]
         n = np.ones(len(p), np.int32)
         for i in range(0, len(p), 1 << 15):
             v, w = self.short[p[i : i + (1 << 15)]], self.short[q[i : i + (1 << 15)]]
@@ -289,8 +342,6 @@ class _Rows:
                 n[i : i + (1 << 15)] += (v == w[:, j : j + 1]).any(axis=1)
         least = -(-np.minimum(self.k[p], self.k[q]) // share) if share else np.maximum(self.need[p], self.need[q])
         fit = n >= least
-        if self.marks:
-            fit[fit] = self.possible(p[fit], q[fit], ratio)
         x, y = self.doc[p[fit]], self.doc[q[fit]]
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int8)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n[fit]), pa.nulls(len(x), pa.binary())], ["kind", "x", "y", "n", "row"])
 
@@ -332,7 +383,7 @@ class _Rows:
                 yield among[has], among[(start + h)[has]]
 
 
-def _multiply(wide: int | None, hubs: int, ratio: float, share: int):
+def _multiply(wide: int | None, hubs: int, ratio: float, share: int, edits: int | None = None):
     """Multiplies the columns of one block; rows (column, row[, label[, mark]]) come sorted by column.
 
     Pairs come out as kind 0. Columns of more than ``wide`` rows are multiplied with their hubs only, and their rows come
@@ -348,7 +399,7 @@ def _multiply(wide: int | None, hubs: int, ratio: float, share: int):
             return
         table, column, length = table.take(pa.array(shared)), column[shared], length[shared]
         coded = pa.concat_arrays(table.column(1).chunks)
-        rows = _Rows(coded, column, np.asarray(table.column(2).combine_chunks(), np.int64) if table.num_columns > 2 else None, table.column(3).combine_chunks() if table.num_columns > 3 else None)
+        rows = _Rows(coded, column, np.asarray(table.column(2).combine_chunks(), np.int64) if table.num_columns > 2 else None, table.column(3).combine_chunks() if table.num_columns > 3 else None, edits)
         is_wide = length > wide if wide is not None else np.zeros(len(length), bool)
         for p, q in rows.every(np.flatnonzero(~is_wide)):
             yield rows.close(p, q, ratio, share)
@@ -378,8 +429,8 @@ def _multiply(wide: int | None, hubs: int, ratio: float, share: int):
     return run
 
 
-def _product(rows: DataFrame, wide: int | None, hubs: int, ratio: float, share: int) -> DataFrame:
-    out = rows.repartition("column").sortWithinPartitions("column").mapInArrow(_multiply(wide, hubs, ratio, share), "kind tinyint, x bigint, y bigint, n int, row binary")
+def _product(rows: DataFrame, wide: int | None, hubs: int, ratio: float, share: int, edits: int | None = None) -> DataFrame:
+    out = rows.repartition("column").sortWithinPartitions("column").mapInArrow(_multiply(wide, hubs, ratio, share, edits), "kind tinyint, x bigint, y bigint, n int, row binary")
     return cut_lineage(out)
 
 
@@ -387,12 +438,13 @@ def _pairs(out: DataFrame) -> DataFrame:
     return out.filter("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.max("n").alias("n"))
 
 
-def overlaps(docs: DataFrame, ratio: float, share: int, wide: int | None = WIDE, hubs: int = HUBS, marked: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame | None]]:
+def overlaps(docs: DataFrame, ratio: float, share: int, wide: int | None = WIDE, hubs: int = HUBS, marks: DataFrame | None = None, edits: int | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame | None]]:
     """docs (doc, size, need, columns) -> candidate pairs (a, b, n), and what finds the rest once components are known.
 
     The first has all candidates of columns of up to ``wide`` rows and those with hubs of the others. The second takes
     labels (doc, label) and returns all candidates of the other columns whose ends have different labels, or None.
-    There, ``marked`` gives documents (doc) their marks (doc, mark), by which pairs are ruled out that cannot reach ``ratio``.
+    There, ``marks`` (doc, mark) rule out pairs that cannot reach ``ratio``; for titles they are the keys, which rule out
+    pairs that are more than ``edits`` mistyped letters apart.
     A candidate shares a ``share``-th of the columns of the shorter list, or as many as either needs if ``share`` is 0. Texts
     that share less than a HUB_SHARE-th with a hub are left to the second.
     """
@@ -409,8 +461,8 @@ def overlaps(docs: DataFrame, ratio: float, share: int, wide: int | None = WIDE,
         elif wide_rows.isEmpty():
             return None
         labelled = wide_rows.join(labels, "doc", "left").select("column", "row", F.coalesce("label", "doc").alias("label"), "doc")
-        labelled = labelled.join(marked(wide_rows.select("doc").distinct()), "doc", "left").drop("doc") if marked else labelled.drop("doc")
-        return _pairs(_product(labelled, None, hubs, ratio, share))
+        labelled = labelled.join(marks, "doc", "left").drop("doc") if marks else labelled.drop("doc")
+        return _pairs(_product(labelled, None, hubs, ratio, share, edits))
 
     return _pairs(first), rest
 
@@ -475,26 +527,40 @@ def with_copies(drawn: DataFrame, reps: DataFrame, labels: DataFrame, keys: list
 def text_groups(df: DataFrame, id_col: str = "id", text_col: str = "content", threshold: float = THRESHOLD, sketch: int = SKETCH, wide: int | None = WIDE, hubs: int = HUBS) -> DataFrame:
     """(id, label) of all texts that belong with another one, copies included. ``wide=None`` multiplies every column in full."""
     texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    drawn = cut_lineage(sketches(texts, "id", "text", sketch))
-    reps = drawn.groupBy("copy_key").agg(F.min(F.struct("id", "size", "columns")).alias("r"), F.max("id").alias("greatest"))
-    reps = cut_lineage(reps.select("copy_key", "r.*", (F.col("greatest") != F.col("r.id")).alias("copied")).withColumn("doc", F.xxhash64("id")))
+    drawn = cut_lineage(sketches(texts, "id", "text", sketch).withColumn("doc", F.xxhash64("id")))
+    reps = representatives(drawn)
     # A text half as long has as many distinct six-word sequences as three-word ones, less three; its columns are no fewer.
     fewest = F.least(F.size("columns"), F.greatest(F.ceil(F.col("size") * threshold).cast("int") - 3, F.lit(1)))
     docs = reps.select("doc", "size", F.ceil(fewest / SHARE).cast("int").alias("need"), "columns")
-    names = reps.select("doc", "id")
     # An id that came with different texts has no mark.
-    wanted = lambda d: texts.join(names.join(d, "doc"), "id")
-    marked = lambda d: marks(wanted(d), "id", "text").groupBy("id").agg(F.when(F.count_distinct(F.coalesce("mark", F.lit(b""))) == 1, F.first("mark")).alias("mark")).select(F.xxhash64("id").alias("doc"), "mark")
-    close, rest = overlaps(docs, threshold, SHARE, wide, hubs, marked)
-    x, y = (names.select(F.col("doc").alias(s), F.col("id").alias(f"id_{s}")) for s in "ab")
-    named = lambda p: cut_lineage(p.join(x, "a").join(y, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "n"))
-    check = lambda p: verified(p, texts, threshold)
+    marks = reps.groupBy("doc").agg(F.when(F.count(F.lit(1)) == 1, F.first("mark")).alias("mark"))
+    close, rest = overlaps(docs, threshold, SHARE, wide, hubs, marks)
+    named = lambda p: cut_lineage(p.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "n"))
+    check = lambda p: verified(p, texts.withColumn("id", F.xxhash64("id")), threshold)
     labels = merged(None, named(close), check)
-    more = rest(labels.select(F.xxhash64("id").alias("doc"), F.xxhash64("label").alias("label")))
+    more = rest(labels.select(F.col("id").alias("doc"), "label"))
     if more is not None:
         more = named(more)
         labels = labels if more.isEmpty() else merged(labels, more, check)
-    return with_copies(drawn, reps.withColumnRenamed("id", "rep"), labels, ["copy_key"])
+    # Labels of numbers become the least id of their group.
+    names = reps.select("copy_key", "doc", F.col("id").alias("rep"), "copied")
+    by_id = cut_lineage(labels.withColumnRenamed("id", "doc").join(names.select("doc", F.col("rep").alias("id")).distinct(), "doc"))
+    least = by_id.groupBy("label").agg(F.min("id").alias("least"))
+    return with_copies(drawn, names, by_id.join(least, "label").select("id", F.col("least").alias("label")), ["copy_key"])
+
+
+def representatives(drawn: DataFrame) -> DataFrame:
+    """drawn (id, doc, copy_key, ...) -> one row for each key, that of the least id, and whether it was ``copied``.
+
+    A filter of at most FILTER_SLOTS numbers keeps most rows whose key no other row has out of the shuffle.
+    """
+    slot = F.pmod(F.xxhash64("copy_key"), F.lit(FILTER_SLOTS)).cast("int").alias("slot")
+    repeated = cut_lineage(drawn.groupBy("copy_key").count().filter("count > 1").select(slot).distinct())
+    columns = [c for c in drawn.columns if c != "copy_key"]
+    single = drawn.withColumn("slot", slot).join(F.broadcast(repeated), "slot", "left_anti").select("copy_key", *columns, F.lit(False).alias("copied"))
+    several = drawn.withColumn("slot", slot).join(F.broadcast(repeated), "slot", "left_semi").groupBy("copy_key")
+    several = several.agg(F.min(F.struct(*columns)).alias("r"), F.max("id").alias("greatest")).select("copy_key", "r.*", (F.col("greatest") != F.col("r.id")).alias("copied"))
+    return single.unionByName(several)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -502,19 +568,20 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     wanted = pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct()
     # A filter of at most FILTER_SLOTS numbers keeps most texts without a candidate out of the shuffle.
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_SLOTS)).cast("int").alias("slot")
-    likely = texts.withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
-    own = cut_lineage(likely.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    likely = texts.withColumn("slot", slot).join(F.broadcast(cut_lineage(wanted.select(slot).distinct())), "slot", "left_semi").filter("text IS NOT NULL").drop("slot")
+    own = likely.dropDuplicates(["id"])
     x, y = own.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), own.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _Sets()
-        for batch in slices(batches):
+        for batch in (s.slice(i, 256) for s in slices(batches) for i in range(0, s.num_rows, 256)):
             i, j, p, q = (batch.column(k).to_pylist() for k in range(4))
-            good = [jaccard(sets.of(a, s), sets.of(b, t)) >= threshold for a, b, s, t in zip(i, j, p, q)]
+            sets.learn(i + j, p + q)
+            good = [jaccard(sets[a], sets[b]) >= threshold for a, b in zip(i, j)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
     joined = pairs.join(x, "id_a").join(y, "id_b").select("id_a", "id_b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a string, b string, good boolean").filter("good").select("a", "b")
+    return joined.mapInArrow(run, "a bigint, b bigint, good boolean").filter("good").select("a", "b")
 
 
 # Titles ------------------------------------------------------------------------------------------------------------
@@ -589,15 +656,24 @@ def title_columns(key: Column, volume: Column, edits: int = TITLE_EDITS) -> Colu
     return F.array_distinct(F.transform(every, lambda g: F.xxhash64(g, volume)))
 
 
+def letter_counts(keys: pa.Array) -> np.ndarray:
+    """Numbers of letters of each key by the last five bits of their code points, a row each."""
+    every = [k.decode() for k in keys.to_pylist()]
+    codes = np.frombuffer("".join(every).encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+    owner = np.repeat(np.arange(len(every)), [len(k) for k in every])
+    return np.bincount(owner * 32 + codes, minlength=len(every) * 32).astype(np.int16).reshape(-1, 32)
+
+
 def title_groups(df: DataFrame, id_col: str = "id", title_col: str = "title", edits: int = TITLE_EDITS, wide: int | None = TITLE_WIDE, hubs: int = TITLE_HUBS) -> DataFrame:
     """(id, label) of all titles that are another one's, written the same or differently."""
     keyed = df.filter(F.col(title_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), title_key(F.col(title_col)).alias("k")).select("id", "k.*")
     keyed = cut_lineage(keyed.filter("key <> ''").dropDuplicates(["id"]))
     reps = cut_lineage(keyed.groupBy("key", "volume").agg(F.min("id").alias("rep"), F.min("words").alias("words"), (F.max("id") != F.min("id")).alias("copied")).withColumn("doc", F.xxhash64("key", "volume")))
     cut_up = reps.select("doc", F.length("key").alias("size"), title_columns(F.col("key"), F.col("volume"), edits).alias("columns"))
+    marks = reps.select("doc", F.col("key").cast("binary").alias("mark"))
     # A mistyped letter, or two swapped, changes five four-letter sequences at most.
     need = F.when(F.col("size") > SHORT_TITLE + edits, F.greatest(F.size("columns") - 5 * edits, F.lit(2))).otherwise(2)
-    near, rest = overlaps(cut_lineage(cut_up.withColumn("need", need)), TITLE_RATIO, 0, wide, hubs)
+    near, rest = overlaps(cut_lineage(cut_up.withColumn("need", need)), TITLE_RATIO, 0, wide, hubs, marks, edits)
     x, y = (reps.select(F.col("doc").alias(s), F.col("key").alias(f"key_{s}"), F.col("words").alias(f"words_{s}"), F.col("volume").alias(f"volume_{s}"), F.col("rep").alias(f"rep_{s}")) for s in "ab")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -163,3 +163,71 @@ def test_spread_columns(spark, monkeypatch):
     full = {row["id"]: row["label"] for row in neardup.text_groups(df, wide=None).collect()}
     monkeypatch.setattr(neardup, "SKEWED", 40)
     assert {row["id"]: row["label"] for row in neardup.text_groups(df, wide=16, hubs=1).collect()} == full
+
+
+def test_words_of_many_texts_at_once():
+    docs = ["", " ", "İstanbul ΑΣ ΟΔΟΣ_x 12", "日本語 a\x00b \U0001f600c", *texts(4).values(), "x" * 300_000 + " ka", "Ka"]
+    words = [neardup._WORD.findall(t.lower()) for t in docs]
+    hashes = [h.tolist() for h in neardup._Hashes().of(docs)]
+    assert [len(h) for h in hashes] == [len(w) for w in words]
+    known = dict(zip((w for ws in words for w in ws), (h for hs in hashes for h in hs)))
+    assert [[known[w] for w in ws] for ws in words] == hashes and len(set(known.values())) == len(known)
+
+
+def block_rows(sizes, marks, edits=None):
+    """Rows of one column with no columns behind it."""
+    import numpy as np
+    import pyarrow as pa
+
+    heads = [np.int64(i).tobytes() + np.int32(n).tobytes() + np.array([1, 1], np.uint16).tobytes() for i, n in enumerate(sizes)]
+    return neardup._Rows(pa.array(heads, pa.binary()), np.zeros(len(sizes), np.int64), None, pa.array(marks, pa.binary()), edits)
+
+
+def test_marks_rule_out_no_pair():
+    """Every pair of half the sequences in common stays, most others go; sizes on either side of a power of two."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    shared = r.integers(0, 2**63, 4000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([shared[:k], r.integers(0, 2**63, n - k).astype(np.uint64)])) for n in (70, 127, 129, 250, 600, 1030, 5000) for k in (0, n // 3, n // 2, 2 * n // 3, n * 9 // 10) if k <= 4000]
+    rows = block_rows([len(s) for s in sets], [neardup._mark(s, len(s)) if i % 9 else None for i, s in enumerate(sets)])
+    p, q = (np.array(x) for x in zip(*itertools.combinations(range(len(sets)), 2)))
+    sure = np.array([neardup.jaccard(sets[a], sets[b]) >= 0.5 for a, b in zip(p, q)])
+    possible = rows.possible(p, q, 0.5)
+    marked = (p % 9 > 0) & (q % 9 > 0)
+    comparable = marked & (np.minimum(rows.size[p], rows.size[q]) * 2 >= np.maximum(rows.size[p], rows.size[q]))
+    assert sure.any() and possible[sure].all() and possible[~marked].all()
+    assert possible[comparable & ~sure].mean() < 0.5
+
+
+def test_letters_rule_out_no_title():
+    import numpy as np
+
+    keys = ["thinnutofjumimaandgroplu", "thinnutofjumimandgrolpu", "thnnutofjumiimaandgropla", "häßλ日本語", "haßλ日本", "halespellnoughtzaphod", ""]
+    rows = block_rows([len(k) for k in keys], [k.encode() for k in keys], 4)
+    p, q = (np.array(x) for x in zip(*itertools.combinations(range(len(keys)), 2)))
+    possible = dict(zip(zip(p.tolist(), q.tolist()), rows.possible(p, q, 0.6).tolist()))
+    assert {x for x, good in possible.items() if good} == {(0, 1), (0, 2), (1, 2), (3, 4), (3, 6), (4, 6)}
+
+
+def products(monkeypatch):
+    """Of every product: its rows and what came out."""
+    seen, real = [], neardup._product
+    monkeypatch.setattr(neardup, "_product", lambda rows, *a: seen.append((rows, real(rows, *a))) or seen[-1][1])
+    return seen
+
+
+def test_alike_titles_of_other_works_are_ruled_out_early(spark, monkeypatch):
+    """Titles that share half of their letters in place, but for their names."""
+    r = random.Random(14)
+    name = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(5))
+    titles = {f"t{i:03}": f"{name().title()}'s Hollow Cat: A Tale of {name().title()}" for i in range(200)}
+    seen = products(monkeypatch)
+    assert neardup.title_groups(spark.createDataFrame(list(titles.items()), "id string, title string")).count() == 0
+    assert len(seen) == 2 and seen[1][1].filter("kind = 0").select("x", "y").distinct().count() < 200 * 199 // 2 // 4
+
+
+def test_texts_are_not_read_again_for_the_full_product(spark, data, monkeypatch):
+    seen = products(monkeypatch)
+    neardup.text_groups(table(spark, data, "chapters"), wide=1, hubs=1).count()
+    assert len(seen) == 2 and not any(rows.inputFiles() for rows, _ in seen)
